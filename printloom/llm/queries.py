@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from printloom.llm import bpe, media, secrets, simhash, topk
+from printloom.llm import bpe, langid, media, mixing, secrets, simhash, topk
 from printloom.llm.common import table
 
 
@@ -22,10 +23,21 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs, langid.training_rows()))
+    return found.select("doc_id", F.coalesce(~langid.training_rows(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", "n_chars")
+    return mixing.mix_sources(docs, details=True).drop("mix_rate")
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -35,7 +47,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_secret_scan": op3_secret_scan,
     "op4_bpe": op4_bpe,
+    "op6_language_id": op6_language_id,
     "op8_simhash": op8_simhash,
+    "op9_mix_sources": op9_mix_sources,
     "op10_top_k": op10_top_k,
 }
 
@@ -54,6 +68,29 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+MIX_SQL = """
+WITH units AS (
+    SELECT source, CAST(sum(greatest(coalesce(length(text), 0), 1)) AS BIGINT) AS units FROM documents GROUP BY source
+), pulls AS (
+    SELECT source, units, pow(CAST(units AS DOUBLE), 0.5) AS pull FROM units
+), rates AS (
+    SELECT source, pull / (SELECT sum(pull) FROM pulls) * (SELECT CAST(sum(units) AS DOUBLE) FROM pulls) / units AS rate FROM pulls
+), split AS (
+    SELECT source, CAST(CASE WHEN rate > 8 THEN floor(rate - 8) + 1 ELSE 0 END AS BIGINT) AS sure, rate - CASE WHEN rate > 8 THEN floor(rate - 8) + 1 ELSE 0 END AS mean FROM rates
+), chances AS (
+    SELECT source, sure, k, exp(-mean) * pow(mean, k) / gamma(k + 1) AS p FROM split, range(0, 40) t(k)
+), steps AS (
+    SELECT source, sure, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS upto FROM chances
+), drawn AS (
+    SELECT d.doc_id, any_value(s.sure) + count(*) FILTER (WHERE s.upto <= u) AS n
+    FROM (SELECT doc_id, source, CAST(CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents) d
+    JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.doc_id
+)
+SELECT d.doc_id, d.source, d.lang, d.text, d.n_chars, CAST(c.k AS INTEGER) AS mix_copy, md5('17-order:' || d.doc_id || ':' || c.k) AS mix_order
+FROM documents d JOIN drawn n ON d.doc_id = n.doc_id, range(1, 100) c(k) WHERE c.k <= n.n
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_mix_sources": MIX_SQL,
     "op10_top_k": TOP_K_SQL,
 }
