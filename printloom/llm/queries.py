@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from printloom.llm import bpe, langid, media, mixing, secrets, simhash, topk
+from printloom.llm import bpe, langid, lm, media, mixing, secrets, simhash, topk
 from printloom.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(~langid.training_rows(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), lm.training_rows())
+    return scored.select("doc_id", F.coalesce(~lm.training_rows(), F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_bpe": op4_bpe,
     "op6_language_id": op6_language_id,
+    "op7_lm_score": op7_lm_score,
     "op8_simhash": op8_simhash,
     "op9_mix_sources": op9_mix_sources,
     "op10_top_k": op10_top_k,
