@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from printloom.llm import bpe, langid, lm, media, mixing, secrets, simhash, topk
+from printloom.llm import bpe, langid, lm, media, mixing, pii, secrets, simhash, topk
 from printloom.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_texts(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_media_columns": op2_media_columns,
     "op3_secret_scan": op3_secret_scan,
     "op4_bpe": op4_bpe,
