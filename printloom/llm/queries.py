@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from printloom.llm import bpe, langid, lm, media, mixing, pii, secrets, simhash, topk
+from printloom.llm import bpe, langid, licenses, lm, media, mixing, pii, secrets, simhash, topk
 from printloom.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs, licenses.fit(docs))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, langid.training_rows()))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_secret_scan": op3_secret_scan,
     "op4_bpe": op4_bpe,
+    "op5_licenses": op5_licenses,
     "op6_language_id": op6_language_id,
     "op7_lm_score": op7_lm_score,
     "op8_simhash": op8_simhash,
