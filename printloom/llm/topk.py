@@ -21,9 +21,9 @@ from pyspark.sql.window import Window
 
 SCALE, K = 1024, 10
 #: Candidates of a block, queries of a block, and segments of a posting list.
-BLOCK_ROWS, QUERY_ROWS, SEGMENTS = 2048, 2048, 16
+BLOCK_ROWS, QUERY_ROWS, SEGMENTS = 4096, 2048, 16
 #: How often a search looks for a proof.
-ROUNDS = 8
+ROUNDS = 4
 
 
 def whole_numbers(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -38,13 +38,16 @@ class Index:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, segments: int = SEGMENTS):
         self.ids, self.rows = ids, rows
-        n = len(rows)
-        order = np.argsort(rows, axis=0, kind="stable")  # ascending component, by dimension
-        cuts = np.unique(np.linspace(0, n, min(segments, n) + 1).astype(int))
-        values = np.take_along_axis(rows, order, axis=0)
+        n, dims = rows.shape
+        self.order = np.argsort(rows, axis=0, kind="stable")  # ascending component, by dimension
+        self.values = np.take_along_axis(rows, self.order, axis=0).astype(np.float64)
+        self.cuts = np.unique(np.linspace(0, n, min(segments, n) + 1).astype(int))
+        self.segments = len(self.cuts) - 1
         #: Quantised impact: the least and the greatest component of a segment, (segment, dimension).
-        self.low, self.high = values[cuts[:-1]], values[cuts[1:] - 1]
-        self.postings = [[order[a:b, d] for d in range(rows.shape[1])] for a, b in zip(cuts, cuts[1:])]
+        self.low, self.high = self.values[self.cuts[:-1]], self.values[self.cuts[1:] - 1]
+        #: Segment of each row in each dimension.
+        self.segment = np.empty((n, dims), np.uint8)
+        np.put_along_axis(self.segment, self.order, np.repeat(np.arange(self.segments), np.diff(self.cuts))[:, None].astype(np.uint8), axis=0)
 
     def top(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, greatest score first, ties by id; rows whose id is ``own`` take no part."""
@@ -52,29 +55,29 @@ class Index:
         n, dims = int(alive.sum()), self.rows.shape[1]
         if n <= k or not dims:
             return self._exact(np.flatnonzero(alive), query, k)
+        last = self.segments
         rising = query >= 0
         gain = np.where(rising, self.high, self.low) * query  # most that a posting of the segment adds
         least = np.where(rising, self.low[0], self.high[-1]) * query
-        turn = np.argsort(-(gain - least), axis=None, kind="stable")  # segments by impact: gain above the dimension's least
-        place = np.empty(len(turn), np.int64)
-        place[turn] = np.arange(len(turn))
-        place = place.reshape(gain.shape)
-        score = np.zeros(len(self.ids), np.int64)  # exact over the postings seen
-        unseen = np.ones(self.rows.shape, bool)
-        step = max(dims, len(turn) // ROUNDS)
-        for start in range(0, len(turn), step):
-            for at in turn[start : start + step].tolist():
-                s, d = divmod(at, dims)
-                own_rows = self.postings[s][d]
-                score[own_rows] += self.rows[own_rows, d] * query[d]
-                unseen[own_rows, d] = False
-            open_gain = np.where(place >= start + step, gain, least)  # segments still to come
-            ceiling = open_gain.max(0)
-            sure, possible = score + unseen @ least, score + unseen @ ceiling
+        # segments by impact, gain above the dimension's least; along a dimension gains fall, so a prefix of it is taken
+        turn = np.argsort(-(gain - least), axis=None, kind="stable") % dims
+        taken, score = np.zeros(dims, np.int64), np.zeros(len(self.ids))
+        step = -(-len(turn) // ROUNDS)
+        for upto in range(step, len(turn) + step, step):
+            before, taken = taken, np.bincount(turn[:upto], minlength=dims)
+            start = np.where(rising, last - taken, before)
+            end = np.where(rising, last - before, taken)
+            spans = [(self.cuts[a], self.cuts[b], d) for d, (a, b) in enumerate(zip(start.tolist(), end.tolist())) if a < b]
+            postings = np.concatenate([self.order[a:b, d] for a, b, d in spans])
+            score += np.bincount(postings, np.concatenate([self.values[a:b, d] * query[d] for a, b, d in spans]), len(self.ids))
+            lo, hi = np.where(rising, 0, taken), np.where(rising, last - taken, last)
+            unseen = (self.segment >= lo) & (self.segment < hi)
+            reach = np.where(rising, self.high[np.maximum(hi - 1, 0), range(dims)], self.low[np.minimum(lo, last - 1), range(dims)]) * query
+            sure, possible = (score[:, None] + unseen.astype(np.float64) @ np.stack([least, reach], 1)).T
             floor = np.partition(sure[alive], n - k)[n - k]
-            members = np.flatnonzero(alive & (possible >= floor))
+            members = np.flatnonzero(alive & (possible >= floor - 1e-9 * abs(floor)))
             if len(members) <= max(4 * k, n // 16):  # proof: no other row reaches the k-th
-                return self._exact(members, query, k)
+                break
         return self._exact(members, query, k)
 
     def _exact(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
