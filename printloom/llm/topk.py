@@ -39,15 +39,17 @@ class Index:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, segments: int = SEGMENTS):
         self.ids, self.rows = ids, rows
         n, dims = rows.shape
-        self.order = np.argsort(rows, axis=0, kind="stable")  # ascending component, by dimension
-        self.values = np.take_along_axis(rows, self.order, axis=0).astype(np.float64)
+        order = np.argsort(rows, axis=0, kind="stable")  # ascending component, by dimension
+        values = np.take_along_axis(rows, order, axis=0).astype(np.float64)
+        #: Posting lists: rows and components of each dimension.
+        self.order, self.values = np.ascontiguousarray(order.T), np.ascontiguousarray(values.T)
         self.cuts = np.unique(np.linspace(0, n, min(segments, n) + 1).astype(int))
         self.segments = len(self.cuts) - 1
         #: Quantised impact: the least and the greatest component of a segment, (segment, dimension).
-        self.low, self.high = self.values[self.cuts[:-1]], self.values[self.cuts[1:] - 1]
+        self.low, self.high = values[self.cuts[:-1]], values[self.cuts[1:] - 1]
         #: Segment of each row in each dimension.
         self.segment = np.empty((n, dims), np.uint8)
-        np.put_along_axis(self.segment, self.order, np.repeat(np.arange(self.segments), np.diff(self.cuts))[:, None].astype(np.uint8), axis=0)
+        np.put_along_axis(self.segment, order, np.repeat(np.arange(self.segments), np.diff(self.cuts))[:, None].astype(np.uint8), axis=0)
 
     def top(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, greatest score first, ties by id; rows whose id is ``own`` take no part."""
@@ -68,8 +70,8 @@ class Index:
             start = np.where(rising, last - taken, before)
             end = np.where(rising, last - before, taken)
             spans = [(self.cuts[a], self.cuts[b], d) for d, (a, b) in enumerate(zip(start.tolist(), end.tolist())) if a < b]
-            postings = np.concatenate([self.order[a:b, d] for a, b, d in spans])
-            score += np.bincount(postings, np.concatenate([self.values[a:b, d] * query[d] for a, b, d in spans]), len(self.ids))
+            postings = np.concatenate([self.order[d, a:b] for a, b, d in spans])
+            score += np.bincount(postings, np.concatenate([self.values[d, a:b] * query[d] for a, b, d in spans]), len(self.ids))
             lo, hi = np.where(rising, 0, taken), np.where(rising, last - taken, last)
             unseen = (self.segment >= lo) & (self.segment < hi)
             reach = np.where(rising, self.high[np.maximum(hi - 1, 0), range(dims)], self.low[np.minimum(lo, last - 1), range(dims)]) * query
