@@ -190,9 +190,10 @@ class Filter:
         return out
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of each class from 2 ** (q - 1) to 2 ** q - 1, 0 for none."""
-        q = self.classes(keys)
-        return np.where(q == 0, 0.0, (2.0 ** (q - 1) + 2.0**q - 1) / 2)
+        """Estimated counts: the middle of each class from 2 ** (q - 1) to 2 ** q - 1, 0 for none. Equal keys are probed once."""
+        own, place = np.unique(keys, return_inverse=True)
+        q = self.classes(own)
+        return np.where(q == 0, 0.0, (2.0 ** (q - 1) + 2.0**q - 1) / 2)[place]
 
 
 def build_filter(texts: DataFrame, tokens: int) -> tuple[bytes, int, int]:
@@ -222,8 +223,10 @@ def build_filter(texts: DataFrame, tokens: int) -> tuple[bytes, int, int]:
             yield close()
 
     maps = ngram_parts(texts, lead).repartition(1 << lead, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, map binary")
-    found = {r["part"]: bytes(r["map"]) for r in maps.collect()}  # FILTER_BYTES in all at most
-    return b"".join(found.get(i, bytes(bits // 8)) for i in range(1 << lead)), bits, lead
+    whole, size = bytearray(bits // 8 << lead), bits // 8  # FILTER_BYTES in all at most
+    for r in written(maps).toLocalIterator():  # a few parts at a time
+        whole[r["part"] * size : (r["part"] + 1) * size] = r["map"]
+    return bytes(whole), bits, lead
 
 
 def _summed(total: tuple | None, more: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,19 +242,29 @@ def _summed(total: tuple | None, more: list[tuple]) -> tuple[np.ndarray, np.ndar
 # --- scores ----------------------------------------------------------------------------------------------------------
 
 
-def model_score(h: np.ndarray, counts: Filter, total: int, distinct: int) -> float:
-    """log10 probability of a text: at each token, WEIGHT times the pair's relative frequency plus the rest times the smoothed single word.
+def model_scores(h: np.ndarray, sizes: np.ndarray, counts: Filter, total: int, distinct: int) -> np.ndarray:
+    """log10 probability of each of many texts: ``h`` has their words' hashes end to end, ``sizes`` how many each has.
 
-    A pair of an unseen first word leaves all weight to the single word; an estimate never exceeds its first word's.
+    At each token, WEIGHT times the pair's relative frequency plus the rest times the smoothed single word. A pair of
+    an unseen first word leaves all weight to the single word; an estimate never exceeds its first word's.
     """
-    n_pairs = counts.counts(pair_keys(h))
-    singles = counts.counts(single_keys(h))
-    first = np.concatenate([[counts.ends], singles])
-    then = np.concatenate([singles, [counts.ends]])
+    ends = np.cumsum(sizes + 1) - 1  # where each text's end token is
+    starts = ends - sizes
+    is_end = np.zeros(len(h) + len(sizes), bool)
+    is_end[ends] = True
+    then_hash = np.empty(len(is_end), np.uint64)
+    then_hash[is_end], then_hash[~is_end] = _END, h
+    first_hash = np.concatenate([[_START], then_hash[:-1]])
+    first_hash[starts] = _START
+    then = np.empty(len(is_end))
+    then[is_end], then[~is_end] = counts.ends, counts.counts(single_keys(h))
+    first = np.concatenate([[counts.ends], then[:-1]])
+    first[starts] = counts.ends
+    pairs = counts.counts(mixed(first_hash * _A + then_hash))
     smooth = (then + 0.1) / (max(total, 0) + 0.1 * (distinct + 1))
-    share = np.minimum(n_pairs / np.maximum(first, 1.0), 1.0)
+    share = np.minimum(pairs / np.maximum(first, 1.0), 1.0)
     p = np.where(first > 0, WEIGHT * share + (1 - WEIGHT) * smooth, smooth)
-    return float(np.log10(np.minimum(p, 1.0)).sum())
+    return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
 
 
 def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,7 +274,8 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     counts = written(word_counts(texts))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"]), int(sums["v"])
-    hot = {r["word"].encode(): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect()}
+    top = counts.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
+    hot = dict(zip(top["word"].cast(pa.binary()).to_pylist(), top["n"].to_pylist()))
     shared = spark.sparkContext.broadcast((hot, build_filter(texts, total)))
     below = np.log10(total + 0.1 * (distinct + 1))
 
@@ -269,23 +283,28 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
         own, (maps, bits, lead) = shared.value
         filled = Filter(np.frombuffer(maps, np.uint8), bits, lead)
         ends = own.get(END.encode(), 0)
+        names = ["row", "k", "word", "n_tokens", "n_known", "base", "score", "times"]
         for ids, keys, rows in chunks(batches, "row", "k", "t"):
-            out: list[tuple] = []
-            for i, k, t in zip(ids, keys, rows):
-                w = words_of(t)
-                found = np.fromiter((own.get(x, 0) for x in w), np.int64, len(w))
-                known = found[found > 0]
-                base = float(np.log10(known + 0.1).sum() - len(known) * below)
-                if ends or not distinct:
-                    base += float(np.log10(ends + 0.1) - below)
-                out.append((i, k, f" {i}", len(w) + 1, len(known) + (ends > 0), base, model_score(hashes(w), filled, total, distinct), None))
-                cold: dict[bytes, int] = {}
-                for j in np.flatnonzero(found == 0).tolist():
-                    cold[w[j]] = cold.get(w[j], 0) + 1
-                out += [(i, None, x.decode(), 0, 0, 0.0, None, n) for x, n in cold.items()]
-            columns = list(zip(*out))
-            kinds = (pa.int64(), key_type, pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["row", "k", "word", "n_tokens", "n_known", "base", "score", "times"])
+            split = [words_of(t) for t in rows]
+            words = [w for own_words in split for w in own_words]
+            sizes = np.array([len(w) for w in split], np.int64)
+            found = np.fromiter((own.get(w, 0) for w in words), np.int64, len(words))
+            logs = np.append(np.where(found > 0, np.log10(found + 0.1) - below, 0.0), 0.0)  # reduceat needs a value after the last
+            starts = np.cumsum(sizes) - sizes
+            base = np.where(sizes > 0, np.add.reduceat(logs, starts), 0.0)
+            known = np.where(sizes > 0, np.add.reduceat(np.append(found > 0, False).astype(np.int64), starts), 0)
+            if ends or not distinct:
+                base = base + (np.log10(ends + 0.1) - below)
+            models = model_scores(hashes(words), sizes, filled, total, distinct)
+            n = len(rows)
+            none = pa.nulls(n, pa.int64())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, key_type), pa.array([f" {i}" for i in ids]), pa.array(sizes + 1), pa.array(known + (ends > 0)), pa.array(base), pa.array(models), none], names=names)
+            cold = np.flatnonzero(found == 0)
+            if len(cold):
+                of = np.array(ids, np.int64)[np.searchsorted(np.cumsum(sizes), cold, side="right")]
+                m = len(cold)
+                zeros = pa.array(np.zeros(m, np.int64))
+                yield pa.record_batch([pa.array(of), pa.nulls(m, key_type), pa.array([words[j] for j in cold.tolist()], pa.binary()).cast(pa.string()), zeros, zeros, pa.array(np.zeros(m)), pa.nulls(m, pa.float64()), pa.array(np.ones(m, np.int64))], names=names)
 
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema[key].dataType.simpleString()]
     numbered = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("row", _row_number())
