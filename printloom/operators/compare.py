@@ -42,14 +42,14 @@ def unexpected(cells: DataFrame, targets: DataFrame) -> DataFrame:
 def kind_of(got: Column, ref: Column) -> Column:
     """Class of a difference; the first that fits."""
     g, r = hard(got), hard(ref)
-    marks = (hard(strip_marks(got)) == hard(strip_marks(ref))) & (got != ref) & (hard(strip_marks(got)) != "")
+    bare = strip_marks(got)
     return (
-        F.when(g == r, "presentation-only")
-        .when(marks, "marker-corruption")
+        F.when((bare != got) & (hard(bare) == r), "marker-corruption")
+        .when(g == r, "presentation-only")
         .when(hard_key(got) == hard_key(ref), "text-layer-reordered")
         .when((g != "") & r.startswith(g), "candidate-truncated")
-        .when((r != "") & g.startswith(r), "reference-truncated")
-        .when((single_lead(g) == single_lead(r)) & (g != r), "overprint")
+        .when((g != "") & g.startswith(r), "reference-truncated")
+        .when((g != "") & (single_lead(g) == r), "overprint")
         .otherwise("content-difference")
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,11 +134,11 @@ def recut(pool: list[tuple], lens: list[int], targets: list[str], origins: list[
     return list(best[len(lens)][1])
 
 
-def _island(pdf: pd.DataFrame, max_window: int) -> pd.DataFrame:
+def _island(group: pa.Table, max_window: int) -> pa.Table:
     """Re-cuts one island of a column: rows in order, greedily from the first mismatch on."""
-    pdf = pdf.sort_values("row_no")
-    rows = [[(p["page"], p["y"], p["origin"], p["text"], h) for p, h in zip(ps, hs)] for ps, hs in zip(pdf["pieces"], pdf["hards"])]
-    targets, numbers = pdf["target"].tolist(), pdf["row_no"].tolist()
+    found = sorted(group.to_pylist(), key=lambda r: r["row_no"])
+    rows = [[(p["page"], p["y"], p["origin"], p["text"], h) for p, h in zip(r["pieces"], r["hards"])] for r in found]
+    targets, numbers = [r["target"] for r in found], [r["row_no"] for r in found]
     changed, touched, notes = set(), set(), {}
     n = len(rows)
     matches = lambda j: "".join(p[4] for p in rows[j]) == targets[j]
@@ -169,14 +169,14 @@ def _island(pdf: pd.DataFrame, max_window: int) -> pd.DataFrame:
             if done:
                 break
     keep = sorted(changed | set(notes))
-    first = pdf.iloc[0]
-    return pd.DataFrame({
-        "doc_id": [first["doc_id"]] * len(keep),
-        "row_no": [numbers[j] for j in keep],
-        "col": [int(first["col"])] * len(keep),
-        "pieces": [[{"page": p[0], "y": p[1], "origin": p[2], "text": p[3]} for p in rows[j]] for j in keep],
-        "touched": [j in touched for j in keep],
-        "note": [notes.get(j) for j in keep],
+    piece = pa.struct([("page", pa.int32()), ("y", pa.float64()), ("origin", pa.int32()), ("text", pa.string())])
+    return pa.table({
+        "doc_id": pa.array([found[0]["doc_id"]] * len(keep), pa.string()),
+        "row_no": pa.array([numbers[j] for j in keep], pa.int64()),
+        "col": pa.array([found[0]["col"]] * len(keep), pa.int32()),
+        "pieces": pa.array([[dict(zip(("page", "y", "origin", "text"), p)) for p in rows[j]] for j in keep], pa.list_(piece)),
+        "touched": pa.array([j in touched for j in keep], pa.bool_()),
+        "note": pa.array([notes.get(j) for j in keep], pa.string()),
     })
 
 
@@ -198,7 +198,7 @@ def reassign_windows(rows: DataFrame, spec: TableSpec, max_window: int = MAX_WIN
     order = Window.partitionBy("doc_id", "col").orderBy("row_no")
     islands = around.withColumn("_new", F.when(F.col("row_no") - F.lag("row_no").over(order) > 1, 1).otherwise(0)).withColumn("island", F.sum("_new").over(order))
     out = f"doc_id string, row_no long, col int, pieces array<{PIECE}>, touched boolean, note string"
-    changes = keep(islands.select("doc_id", "col", "island", "row_no", "pieces", "hards", "target").groupBy("doc_id", "col", "island").applyInPandas(lambda pdf: _island(pdf, max_window), out))
+    changes = keep(islands.select("doc_id", "col", "island", "row_no", "pieces", "hards", "target").groupBy("doc_id", "col", "island").applyInArrow(lambda group: _island(group, max_window), out))
     per = [F.first(F.when(F.col("col") == i, F.col("pieces")), ignorenulls=True).alias(f"_n{i}") for i in range(spec.n)]
     new = changes.groupBy("doc_id", "row_no").agg(*per)
     merged = rows.join(new, ["doc_id", "row_no"], "left")

@@ -121,7 +121,7 @@ def applies(kind: str, layout: ExportLayout, i: int, v: Expr, after: Expr | None
 def plan_defects(values: DataFrame, layout: ExportLayout, counts: dict[str, int] | None = None, seed: int = 7) -> DataFrame:
     """(doc_id, rn, col, kind): at most one defect in three rows, so neighbours stay clean, up to the count of each kind.
 
-    Places are chosen by hash; a row that two kinds want goes to the one that comes first. The first and the last row stay clean.
+    Places are chosen by hash. The first and the last row stay clean.
     """
     counts = DEFECTS if counts is None else counts
     if unknown := set(counts) - set(DEFECTS):
@@ -136,8 +136,11 @@ def plan_defects(values: DataFrame, layout: ExportLayout, counts: dict[str, int]
     last = F.max("rn").over(Window.partitionBy("doc_id"))
     found = values.withColumn("last", last).where((F.col("rn") % 3 == 1) & (F.col("rn") < F.col("last"))).select("doc_id", "rn", F.explode(F.filter(F.array(*options), lambda o: o.isNotNull())).alias("o")).select("doc_id", "rn", "o.col", "o.kind")
     hashed = found.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "rn", "col", "kind"))
-    rarity = F.count("*").over(Window.partitionBy("doc_id", "kind"))
-    one = hashed.withColumn("rare", rarity).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "rn").orderBy("rare", "h"))).where("turn = 1")
+    # rows take the kinds in turn, and the next that fits where the one in turn does not
+    kinds = [k for k in counts if counts[k] > 0]
+    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.lit(seed), "rn"), "rn"))
+    in_turn = F.pmod(F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")) - F.col("place"), F.lit(len(kinds)))
+    one = hashed.withColumn("place", place).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "rn").orderBy(in_turn, "h"))).where("turn = 1")
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("kind"))
     return one.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("h"))).where(F.col("turn") <= limit).select("doc_id", "rn", "col", "kind")
 

@@ -144,8 +144,8 @@ for _kind in X.KINDS:
 # --- comparison --------------------------------------------------------------------------------------------------------
 
 _MUTATED = """CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '  ') WHEN 3 THEN left(p_name, length(p_name) - 2) WHEN 4 THEN left(p_name, 1) || p_name
- WHEN 5 THEN reverse(p_name) WHEN 6 THEN '° ' || p_name ELSE 'OMEGA' END"""
-_REFERENCE = "CASE WHEN p_partkey % 8 = 6 THEN '。 ' || p_name WHEN p_partkey % 80 = 7 THEN '' ELSE p_name END"
+ WHEN 5 THEN reverse(p_name) WHEN 6 THEN '0 ' || p_name ELSE 'OMEGA' END"""
+_REFERENCE = "CASE WHEN p_partkey % 8 = 6 THEN '° ' || p_name WHEN p_partkey % 80 = 7 THEN '' ELSE p_name END"
 
 
 def _mutated(spark, sf_dir):
@@ -164,12 +164,11 @@ def compare_modes(spark, sf_dir):
 
 
 def _kind_sql() -> str:
-    marks = lambda x: hard_sql(f"regexp_replace({x}, '^[{X.WS}]*[{X.MARKS}]+', '')")
+    bare = f"regexp_replace(candidate, '^[{X.WS}]*[{X.MARKS}]+', '')"
     g, r = hard_sql("candidate"), hard_sql("reference")
-    lead = lambda x: f"(left({x}, 1) || ltrim({x}, left({x}, 1)))"
-    return f"""CASE WHEN {g} = {r} THEN 'presentation-only' WHEN {marks('candidate')} = {marks('reference')} AND candidate <> reference AND {marks('candidate')} <> '' THEN 'marker-corruption'
- WHEN {key_sql('candidate')} = {key_sql('reference')} THEN 'text-layer-reordered' WHEN {g} <> '' AND starts_with({r}, {g}) THEN 'candidate-truncated' WHEN {r} <> '' AND starts_with({g}, {r}) THEN 'reference-truncated'
- WHEN {lead(g)} = {lead(r)} THEN 'overprint' ELSE 'content-difference' END"""
+    return f"""CASE WHEN {bare} <> candidate AND {hard_sql(bare)} = {r} THEN 'marker-corruption' WHEN {g} = {r} THEN 'presentation-only'
+ WHEN {key_sql('candidate')} = {key_sql('reference')} THEN 'text-layer-reordered' WHEN {g} <> '' AND starts_with({r}, {g}) THEN 'candidate-truncated' WHEN {g} <> '' AND starts_with({g}, {r}) THEN 'reference-truncated'
+ WHEN left({g}, 1) || ltrim({g}, left({g}, 1)) = {r} THEN 'overprint' ELSE 'content-difference' END"""
 
 
 @query(f"{_PAIRS} SELECT doc_id, row_no, col, candidate, reference, {_kind_sql()} AS kind FROM d WHERE reference <> '' AND {hard_sql('candidate')} <> {hard_sql('reference')}")
