@@ -128,7 +128,7 @@ def notation(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def redact(text: str | None, mask: str = "[SECRET:{}]") -> str | None:
+def redact(text: str | None, mask: str = "[REDACTED {}]") -> str | None:
     """The text with each span replaced by a mark that names its kind; spans that overlap become one."""
     out, at = [], 0
     for a, k, b in find_secrets(text):
