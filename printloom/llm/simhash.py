@@ -47,15 +47,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """Key and fp (64 bits as a long) of each row."""
+    """Key, fp (64 bits as a long) and hash (of the text, to tell rows of one key apart) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in chunks(batches, "k", "t"):
+        for keys, texts, hashes in chunks(batches, "k", "t", "h"):
             fp = np.array([fingerprint(t, words) for t in texts], np.uint64)
-            yield pa.record_batch({"k": pa.array(keys), "fp": pa.array(fp.view(np.int64))})
+            yield pa.record_batch({"k": pa.array(keys), "fp": pa.array(fp.view(np.int64)), "h": pa.array(hashes, pa.int64())})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(run, f"k {kind}, fp long, h long").withColumnsRenamed({"k": key, "h": "hash"})
 
 
 def forest(fps: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -158,6 +159,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose key names their component (repeated keys: all of that key's rows); every column stays."""
-    kept = near_duplicates(docs, key, text).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key] == F.col("_kept"), "left_semi")
+    """One row of each group: that of the least key (null keys last), then the least hash of its text; every column stays.
+
+    Groups are chosen per fingerprint first, so copies never meet in one place. Rows that repeat a key and its text
+    stay once.
+    """
+    own = written(fingerprints(docs, key, text))
+    first = F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "hash")).alias("first")
+    per = written(own.groupBy("fp").agg(first))
+    member = components(links(per))
+    label = F.coalesce("component", "fp")
+    best = per.join(member.withColumnRenamed("node", "fp"), "fp", "left").groupBy(label.alias("label")).agg(F.min("first").alias("first"))
+    kept = written(best.select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash")))
+    out = docs.join(kept, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left_semi")
+    if own.groupBy(key, "hash").count().where("count > 1").isEmpty():
+        return out
+    return out.withColumn("_hash", F.xxhash64(text)).dropDuplicates([key, "_hash"]).select(*docs.columns)

@@ -403,6 +403,8 @@ def test_components_equal_brute_force(spark, sample):
     assert [simhash.fingerprint(want_text) for want_text in ("Ab c", "aB  c\n")][0] == simhash.fingerprint("ab c")
     kept = simhash.one_of_each(docs(spark, texts))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    odd = [(7, "one text of its own here"), (7, "one text of its own here"), (None, "no id at all and alone"), (None, "no id at all and alone"), (None, "one text of its own here"), (8, "")]
+    assert sorted(map(str, (tuple(r)[:2] for r in simhash.one_of_each(docs(spark, odd)).collect()))) == sorted(map(str, [(7, "one text of its own here"), (None, "no id at all and alone"), (8, "")]))
 
 
 def test_dense_classes_are_divided_and_lose_no_link(spark, monkeypatch):
