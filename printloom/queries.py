@@ -12,6 +12,7 @@ from printloom.functions.typography import ADVANCES, OTHER_ADVANCE, text_width,
 from printloom.layout import Column, TableSpec
 from printloom.operators import bordered, checks, compare, conserve, geometry, repair, typeset
 from printloom.operators.typeset import ExportLayout, PrintColumn
+from printloom.plans import catalogue
 from printloom.plans.recovery import printed, recover, round_trip
 from printloom.plans.stages import shared_folder, stored
 from printloom.sources import references, writers
@@ -485,6 +486,12 @@ def evidence_crop(spark, sf_dir):
     return geometry.crop(glyphs, 1, left, NATION.first_y - 1, left + NATION.width(2), NATION.footer_y - 4).groupBy("page").agg(F.count("*").alias("n"))
 
 
+@query(catalogue.SQL)
+def catalogue_recovered(spark, sf_dir):
+    done = catalogue.recovered(spark)
+    return geometry.wide(done.rows, done.spec)
+
+
 # --- ruled tables ------------------------------------------------------------------------------------------------------
 
 

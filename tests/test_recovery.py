@@ -256,3 +256,11 @@ def test_empty_tables_give_empty_results(spark):
     x = geometry.extract(none, SPEC)
     assert x.table().count() == 0 and x.flags.count() == 0
     assert conserve.whole(conserve.page_counts(x.chars, SPEC), x.cells(), SPEC).count() == 0
+
+
+def test_the_catalogue_needs_every_repair(spark):
+    from printloom.plans import catalogue
+
+    done = catalogue.recovered(spark)
+    assert done.diffs.count() == 0 and done.row_problems.count() == 0 and done.whole_problems.count() == 0
+    assert {r["op"]: r["n"] for r in done.repaired.by_operator.collect()} == {"split-word": 1, "swallowed-space": 1, "move-overflow": 1, "double-space": 1, "reassign-window": 1}
