@@ -65,13 +65,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
 
     With ``details``, columns mix_rate, mix_copy (from 1) and mix_order (the shuffle's key) follow the documents' own.
     """
-    names = docs.columns
-    rates = source_rates(docs, weights, temperature, epochs, source, text).select("mix_source", F.col("rate").alias("_mix_rate"))
+    rates = source_rates(docs, weights, temperature, epochs, source, text).select("mix_source", "rate")
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(rates) if few else rates, docs[source].eqNullSafe(F.col("mix_source")))
-    count = poisson_count(F.col("_mix_rate"), uniform(F.lit(seed), docs[key]))
-    copies = joined.withColumn("_mix_count", count).where("_mix_count > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
-    order = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(docs[key].cast("string"), F.lit("null")), F.col("_mix_copy").cast("string")))
-    shuffled = copies.withColumn("_mix_order", order).repartition("_mix_order").sortWithinPartitions("_mix_order")
-    more = [F.col("_mix_rate").alias("mix_rate"), F.col("_mix_copy").alias("mix_copy"), F.col("_mix_order").alias("mix_order")] if details else []
-    return shuffled.select(*[docs[n] for n in names], *more)
+    packed = docs.select(F.struct(*[docs[n] for n in docs.columns]).alias("doc"))  # no column of theirs meets one of ours
+    doc_key = F.col("doc")[key]
+    joined = packed.join(F.broadcast(rates) if few else rates, F.col("doc")[source].eqNullSafe(F.col("mix_source")))
+    counted = joined.withColumn("n", poisson_count(F.col("rate"), uniform(F.lit(seed), doc_key))).where("n > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    order = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(doc_key.cast("string"), F.lit("null")), F.col("copy").cast("string")))
+    shuffled = copies.withColumn("order", order).repartition("order").sortWithinPartitions("order")
+    more = [F.col("rate").alias("mix_rate"), F.col("copy").alias("mix_copy"), F.col("order").alias("mix_order")] if details else []
+    return shuffled.select(*[F.col("doc")[n].alias(n) for n in docs.columns], *more)

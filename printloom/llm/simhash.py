@@ -171,7 +171,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     label = F.coalesce("component", "fp")
     best = per.join(member.withColumnRenamed("node", "fp"), "fp", "left").groupBy(label.alias("label")).agg(F.min("first").alias("first"))
     kept = written(best.select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash")))
-    out = docs.join(kept, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left_semi")
+    out = docs.join(kept, docs[key].eqNullSafe(kept["_key"]) & (F.xxhash64(docs[text]) == kept["_hash"]), "left_semi")
     if own.groupBy(key, "hash").count().where("count > 1").isEmpty():
         return out
-    return out.withColumn("_hash", F.xxhash64(text)).dropDuplicates([key, "_hash"]).select(*docs.columns)
+    packed = out.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    return packed.dropDuplicates(["key", "hash"]).select("doc.*")

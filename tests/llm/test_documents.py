@@ -17,7 +17,7 @@ ODD = [(900, None), (901, ""), (902, " \n\t"), (903, "x" * 120_000), (904, "a b
 
 def docs(spark, texts):
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in texts]
-    return spark.createDataFrame(rows, SCHEMA).withColumn("k", F.lit(1)).withColumn("t", F.lit("clash")).repartition(3)
+    return spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit("clash") for n in ("k", "t", "h", "_key", "_hash", "fp", "hash", "doc")}).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -467,7 +467,7 @@ def test_poisson_counts_have_their_mean(spark):
 
 def test_sources_reach_their_weights(spark):
     rows = [(i, "t" * 10, "en", "big" if i % 10 else "small", 10) for i in range(6000)] + [(None, None, None, None, None), (7000, "", "en", None, 0)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("mix_copy", F.lit("clash"))
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit("clash") for n in ("mix_copy", "mix_source", "rate", "doc", "n", "order")})
     got = mixing.mix_sources(df, {"big": 1.0, "small": 1.0})
     n = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
     assert abs(n["big"] / n["small"] - 1) < 0.1 and None not in n and got.columns == df.columns
