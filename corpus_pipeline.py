@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from printloom.llm import bpe, langid, mixing, secrets, simhash
+from printloom.llm import bpe, jaccard, langid, mixing, secrets
 from printloom.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps the document with the least id of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return jaccard.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,205 @@
+"""Near-duplicates by the Jaccard similarity of five-word shingles, each link verified on whole shingle sets.
+
+Texts with equal shingle sets meet before any search and are one node from then on. A node's least hashes under BANDS
+x BAND_ROWS functions are cut into bands; nodes that share a band are candidates. A pair of similarity s shares one with a
+chance of 1 - (1 - s ** BAND_ROWS) ** BANDS: at 0.8 one pair in 25 million is missed. First each node of a band is
+compared with the band's least node. Only where a band's nodes are then in different groups are they compared with each
+other, in blocks and by sketch; a part of a band gives fewer links than it has nodes. Every pair that a sketch does
+not exclude is verified exactly before it links, unless its groups are linked already.
+
+Cases: a null text is an empty one; texts without words are one group; a text of fewer than SHINGLE_WORDS words is one
+shingle; whole texts are read; rows whose key is null go last; an empty table gives an empty one; every column stays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from printloom.llm.common import chunks, written
+from printloom.llm.graph import components
+from printloom.llm.lm import hashes, mixed, words_of
+
+SHINGLE_WORDS = 5
+#: Least similarity of a link, as a fraction of whole numbers.
+NEAR = (4, 5)
+#: Bands and least hashes in each.
+BANDS, BAND_ROWS = 32, 4
+#: Sketches that agree in a smaller share are not compared: over four standard deviations under 0.8.
+SKETCH_SHARE = 0.65
+#: Nodes of one band that are compared in memory at once: more are dealt into blocks that meet two at a time.
+BLOCK = 512
+
+_A = np.uint64(0x9E3779B97F4A7C15)
+_RNG = np.random.default_rng(42)
+_XOR = _RNG.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
+_TIMES = _RNG.integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the distinct shingles of a whole text, ascending."""
+    h = hashes(words_of(text))
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    n = min(SHINGLE_WORDS, len(h))
+    out = h[: len(h) - n + 1]
+    for i in range(1, n):
+        out = mixed(out * _A + h[i : len(h) - n + 1 + i])
+    return np.unique(out)
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The least value of the shingles under each function."""
+    low, out = (own >> np.uint64(32)).astype(np.uint32), np.full(len(_XOR), (1 << 32) - 1, np.uint32)
+    for at in range(0, len(low), 1 << 10):
+        np.minimum(out, ((low[at : at + (1 << 10), None] ^ _XOR) * _TIMES).min(0), out=out)
+    return out
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of a sketch."""
+    two = least.view(np.uint64).reshape(BANDS, BAND_ROWS // 2)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for j in range(two.shape[1]):
+        out = mixed(out * _A + two[:, j])
+    return out
+
+
+def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, hash (of the text), node (digest of the shingle set), size and sketch of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts, marks in chunks(batches, "k", "t", "h"):
+            sets = [shingles(t) for t in texts]
+            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.record_batch({"key": pa.array(keys), "hash": pa.array(marks, pa.int64()), "node": pa.array(nodes), "size": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary())})
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(run, f"key {kind}, hash long, node long, size long, sketch binary")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """node and set of the rows (key, hash, node) that are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, texts in chunks(batches, "node", "t"):
+            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "set": pa.array([shingles(t).view(np.int64) for t in texts], pa.list_(pa.int64()))})
+
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    met = rows.join(wanted, rows.k.eqNullSafe(wanted["key"]) & (rows.h == wanted["hash"]))
+    return met.select("node", "t").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+
+
+def band_rows(per: DataFrame) -> DataFrame:
+    """band, node and size: a row for each band of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, sizes, least in chunks(batches, "node", "size", "sketch"):
+            found = np.concatenate([bands(np.frombuffer(s, np.uint32)) for s in least])
+            yield pa.record_batch({"band": pa.array(found.view(np.int64)), "node": pa.array(np.repeat(np.array(nodes, np.int64), BANDS)), "size": pa.array(np.repeat(np.array(sizes, np.int64), BANDS))})
+
+    return per.select("node", "size", "sketch").mapInArrow(run, "band long, node long, size long")
+
+
+def sizes_fit(a: Column, b: Column) -> Column:
+    return F.least(a, b) * NEAR[1] >= F.greatest(a, b) * NEAR[0]
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - both
+    return pairs.join(left, "a").join(right, "b").where(both * NEAR[1] >= union * NEAR[0]).select("a", "b")
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (part, side, node, label, sketch, set) sorted by part: links that connect the labels of similar nodes.
+
+    Sides 0 and 1 are compared with each other, side 2 with itself. Each link joins two groups that were apart, so a
+    part gives fewer links than it has rows.
+    """
+
+    def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        side, node, label = (np.array(x, np.int64) for x in list(zip(*rows))[:3])
+        sets = [r[4] for r in rows]
+        size = np.array([len(s) for s in sets], np.int64)
+        least = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
+        a, b = [], []
+        for i in np.flatnonzero(side != 1).tolist():
+            other = np.flatnonzero((label != label[i]) & ((side == 1) if side[i] == 0 else (side == 2) & (np.arange(len(side)) > i)))
+            other = other[np.minimum(size[other], size[i]) * NEAR[1] >= np.maximum(size[other], size[i]) * NEAR[0]]
+            other = other[(least[other] == least[i]).mean(1) >= SKETCH_SHARE]
+            for j in other.tolist():
+                if label[j] != label[i]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both * NEAR[1] >= (size[i] + size[j] - both) * NEAR[0]:
+                        a.append(int(node[i]))
+                        b.append(int(node[j]))
+                        label[label == label[j]] = label[i]
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    part, held = None, []
+    for batch in batches:
+        sets = batch.column(5)
+        for n, (p, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
+            if p != part and held:
+                yield from close(held)
+                held = []
+            part = p
+            held.append((*row, np.array(sets[n].values)))  # a copy: no batch is kept
+    if held:
+        yield from close(held)
+
+
+def links(per: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b): links between nodes that connect all whose sets are similar. per: node, size, sketch, first (its key and hash)."""
+    rows = band_rows(per)
+    heads = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("head")).where("n > 1")
+    shared = written(rows.join(heads, "band"))
+    sets = written(sets_of(docs, per.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("first.key").alias("key"), F.col("first.hash").alias("hash"), "node"), key, text))
+    near_head = shared.where((F.col("head.node") != F.col("node")) & sizes_fit(F.col("head.size"), F.col("size")))
+    first = written(verified(near_head.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), sets))
+
+    labels = components(first).withColumnRenamed("component", "label")
+    labelled = shared.select("band", "node", "size", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    alike = [F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("one"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("two")]
+    # bands of the same nodes are compared once
+    mixed_bands = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), *alike).where("low < high").groupBy("one", "two").agg(F.min("band").alias("band")).select("band")
+    open_rows = written(labelled.join(mixed_bands, "band").select("band", "node", "label", "n"))
+    # a large band's nodes are dealt into blocks; each block meets itself and each other one
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.hash("node"), blocks)
+    meet = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    dealt = open_rows.select("band", "node", "label", own.alias("own"), meet)
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
+    part = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
+    parts = dealt.select(part.alias("part"), side.alias("side"), "node", "label").join(per.select("node", "sketch"), "node").join(sets, "node")
+    pairs = parts.select("part", "side", "node", "label", "sketch", "set").repartition("part").sortWithinPartitions("part").mapInArrow(_across, "a long, b long")
+    return first.union(pairs).distinct()
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group: that of the least key (null keys last), then the least hash of its text; every column stays.
+
+    Rows that repeat a key and its text stay once.
+    """
+    own = written(signatures(docs, key, text))
+    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "hash")).alias("first")
+    per = written(own.groupBy("node").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    member = components(links(per, docs, key, text))
+    label = F.coalesce("component", "node")
+    best = per.select("node", "first").join(member, "node", "left").groupBy(label.alias("label")).agg(F.min("first").alias("first"))
+    kept = written(best.select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash")))
+    out = docs.join(kept, docs[key].eqNullSafe(kept["_key"]) & (F.xxhash64(docs[text]) == kept["_hash"]), "left_semi")
+    if own.groupBy("key", "hash").count().where("count > 1").isEmpty():
+        return out
+    packed = out.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    return packed.dropDuplicates(["key", "hash"]).select("doc.*")

@@ -1,0 +1,56 @@
+"""The near-dedup stage of the pipeline against all pairs."""
+
+import random
+
+import corpus_pipeline
+from printloom.llm import jaccard
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_groups(texts):
+    """id -> least id of its group, by the similarity of all pairs of word tuples."""
+    sets = {}
+    for i, t in texts:
+        w = t.lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    return group
+
+
+def near_copies(seed=3):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    texts, i = [], 0
+    for _ in range(40):
+        own = [rng.choice(words) for _ in range(rng.choice((30, 120, 400)))]
+        for _ in range(rng.randrange(1, 7)):
+            texts.append((i, " ".join(own)))
+            i += 1
+            own = list(own)  # copies of copies: groups are chains
+            for _ in range(rng.randrange(0, 1 + len(own) // 40)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+    return [*texts, (i, ""), (i + 1, " "), (i + 2, "two words"), (i + 3, "Two  Words"), (i + 4, "two")]
+
+
+def test_near_dedup_keeps_one_of_each_group_of_similar_texts(spark, monkeypatch):
+    texts = near_copies()
+    want = plain_groups(texts)
+    assert 40 < len(set(want.values())) < len(texts) - 60
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    monkeypatch.setattr(jaccard, "BLOCK", 2)  # bands in many blocks
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == sorted(set(want.values()))
+
+
+def test_keys_that_repeat_or_are_null(spark):
+    odd = [(7, "one text of its own here"), (7, "one text of its own here"), (None, "no id at all and alone"), (None, "no id at all and alone"), (None, "one text of its own here"), (8, "")]
+    rows = jaccard.one_of_each(spark.createDataFrame([(i, t, None, None, None) for i, t in odd], SCHEMA)).collect()
+    assert sorted(map(str, (tuple(r)[:2] for r in rows))) == sorted(map(str, [(7, "one text of its own here"), (None, "no id at all and alone"), (8, "")]))
+    assert jaccard.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
