@@ -120,8 +120,8 @@ def ngram_parts(texts: DataFrame, lead: int) -> DataFrame:
         for (rows,) in chunks(batches, "t"):
             for t in rows:
                 h = hashes(words_of(t))
-                held += [pair_keys(h), single_keys(h)]
-                size += 2 * len(h)
+                held += [pair_keys(h), single_keys(np.append(h, _END))]  # the end is a token of each text
+                size += 2 * (len(h) + 1)
                 if size >= 4 * STEP_TOKENS:
                     yield flush()
                     held, size = [], 0
