@@ -2,9 +2,9 @@
 
 Training tokens are counted exactly. Word pairs and single words enter one Bloom filter with their quantised count:
 count class q(c) = 1 + floor(log2 c) puts the n-gram in q times, once per class from 1 on. A count is read back by
-probing class 1, 2, ... until one is missing; its estimate is the middle of the class. The filter is broadcast: its
-size follows the training tokens up to FILTER_BYTES, a fixed bound, beyond which n-grams share bits more densely
-(none is left out). The model interpolates the pair's relative frequency with the smoothed single-word probability.
+probing class 1, 2, ... until one is missing; its estimate is the middle of the class. The filter's size follows the
+training tokens. Up to FILTER_BYTES it is broadcast; a larger one stays a written table of parts, and the distinct
+n-grams of each step of texts are sent to the parts and their classes back. The model interpolates the pair's relative frequency with the smoothed single-word probability.
 
 The base score needs exact counts of every word. The HOT_WORDS most frequent ones are broadcast, all other tokens meet
 their counts in a join by word.
@@ -29,14 +29,14 @@ from printloom.llm.common import chunks, crc_mod, written
 
 #: Words whose exact counts are broadcast: some 30 bytes each.
 HOT_WORDS = 200_000
-#: Bound of the filter, bits for each training token below it, probes for each class.
+#: Largest filter that is broadcast, bits for each training token, probes for each class.
 FILTER_BYTES, BITS_PER_TOKEN, PROBES = 1 << 26, 8, 4
 #: The filter is made in parts by the keys' leading bits: n-grams of a part at most (as a mean), least and most such bits.
 PART_NGRAMS, LEAST_BITS, MOST_BITS = 1 << 22, 6, 16
 #: Most count classes (counts up to 2 ** CLASSES) and weight of the pair against the single word.
 CLASSES, WEIGHT = 40, 0.6
-#: Tokens of one counting step.
-STEP_TOKENS = 1 << 20
+#: Tokens of one counting step, and of one step that asks the filter's parts.
+STEP_TOKENS, ASK_TOKENS = 1 << 20, 1 << 19
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Stands for the start, the end, and marks single words in the filter.
@@ -168,6 +168,19 @@ def part_bits(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def probed(keys: np.ndarray, base: np.ndarray, maps: np.ndarray, bits: int) -> np.ndarray:
+    """Class of each key: how many classes in a row from 1 on are set in its part, whose map begins at ``base``."""
+    out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    for level in range(1, CLASSES + 1):
+        for p in range(PROBES):
+            at = positions(keys[left], level, p, bits)
+            left = left[maps[base[left] + (at >> 3)] >> (at & 7) & 1 == 1]
+        if not len(left):
+            break
+        out[left] = level
+    return out
+
+
 class Filter:
     """All parts of the filter; counts are read by repeated probes."""
 
@@ -177,29 +190,33 @@ class Filter:
 
     def classes(self, keys: np.ndarray) -> np.ndarray:
         """Count class of each key: how many classes in a row from 1 on are all set."""
-        out = np.zeros(len(keys), np.int64)
-        base = (keys >> self.shift).astype(np.int64) * (self.bits // 8)
-        left = np.arange(len(keys))
-        for level in range(1, CLASSES + 1):
-            for p in range(PROBES):
-                at = positions(keys[left], level, p, self.bits)
-                left = left[self.maps[base[left] + (at >> 3)] >> (at & 7) & 1 == 1]
-            if not len(left):
-                break
-            out[left] = level
-        return out
+        return probed(keys, (keys >> self.shift).astype(np.int64) * (self.bits // 8), self.maps, self.bits)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Estimated counts: the middle of each class from 2 ** (q - 1) to 2 ** q - 1, 0 for none. Equal keys are probed once."""
         own, place = np.unique(keys, return_inverse=True)
-        q = self.classes(own)
-        return np.where(q == 0, 0.0, (2.0 ** (q - 1) + 2.0**q - 1) / 2)[place]
+        return estimates(self.classes(own))[place]
+
+
+class Answers:
+    """Classes that the filter's parts gave for the ascending keys."""
+
+    def __init__(self, keys: np.ndarray, classes: np.ndarray):
+        self.keys, self.values = keys, estimates(classes.astype(np.int64))
+        self.ends = float(self.counts(single_keys(np.array([_END])))[0])
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return self.values[np.searchsorted(self.keys, keys)]
+
 
+def estimates(q: np.ndarray) -> np.ndarray:
+    return np.where(q == 0, 0.0, (2.0 ** (q - 1) + 2.0**q - 1) / 2)
 
-def build_filter(texts: DataFrame, tokens: int) -> tuple[bytes, int, int]:
-    """Bit maps of all parts, bits in each, and leading bits; sized by the training tokens up to the bound."""
+
+def filter_parts(texts: DataFrame, tokens: int) -> tuple[DataFrame, int, int]:
+    """The written table of parts (part, map), bits in each, and leading bits; sized by the training tokens."""
     lead = leading_bits(tokens)
-    bits = max(1 << 10, min(FILTER_BYTES * 8, BITS_PER_TOKEN * tokens) >> lead) // 64 * 64
+    bits = max(1 << 10, BITS_PER_TOKEN * tokens >> lead) // 64 * 64
 
     def merge(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> pa.RecordBatch:
@@ -223,10 +240,15 @@ def build_filter(texts: DataFrame, tokens: int) -> tuple[bytes, int, int]:
             yield close()
 
     maps = ngram_parts(texts, lead).repartition(1 << lead, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, map binary")
-    whole, size = bytearray(bits // 8 << lead), bits // 8  # FILTER_BYTES in all at most
-    for r in written(maps).toLocalIterator():  # a few parts at a time
+    return written(maps), bits, lead
+
+
+def gathered(parts: DataFrame, bits: int, lead: int) -> bytes:
+    """Bit maps of all parts end to end."""
+    whole, size = bytearray(bits // 8 << lead), bits // 8  # about FILTER_BYTES in all at most
+    for r in parts.toLocalIterator():  # a few parts at a time
         whole[r["part"] * size : (r["part"] + 1) * size] = r["map"]
-    return bytes(whole), bits, lead
+    return bytes(whole)
 
 
 def _summed(total: tuple | None, more: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,6 +289,78 @@ def model_scores(h: np.ndarray, sizes: np.ndarray, counts: Filter, total: int, d
     return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
 
 
+def _text_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Distinct keys, ascending, that model_scores reads for texts whose words' hashes stand end to end."""
+    cuts = np.cumsum(sizes)[:-1]
+    return np.unique(np.concatenate([single_keys(np.append(h, _END)), *map(pair_keys, np.split(h, cuts))]))
+
+
+def scores_by_parts(numbered: DataFrame, parts: DataFrame, bits: int, lead: int, total: int, distinct: int) -> DataFrame:
+    """row and score of the rows (row, t), by a filter that stays a table of parts.
+
+    Texts are hashed in steps; a step's distinct keys go to their parts, where each part's map comes first, and the
+    classes, a byte each, come back to the step.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            return pa.record_batch({"step": pa.array([rows[0]], pa.int64()), "part": pa.array([-1], pa.int32()), "data": pa.array([np.concatenate(held).tobytes()], pa.binary()), "rows": pa.array([np.array(rows, np.int64).tobytes()], pa.binary()), "sizes": pa.array([np.array(list(map(len, held)), np.int64).tobytes()], pa.binary())})
+
+        rows, held, size = [], [], 0
+        for ids, texts in chunks(batches, "row", "t"):
+            for i, t in zip(ids, texts):
+                rows.append(i)
+                held.append(hashes(words_of(t)))
+                size += len(held[-1]) + 1
+                if size >= ASK_TOKENS:
+                    yield flush()
+                    rows, held, size = [], [], 0
+        if rows:
+            yield flush()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for steps, data, sizes in chunks(batches, "step", "data", "sizes", rows=1):
+            keys = _text_keys(np.frombuffer(data[0], np.uint64), np.frombuffer(sizes[0], np.int64))
+            part = (keys >> np.uint64(64 - lead)).astype(np.int64)
+            own, first = np.unique(part, return_index=True)
+            cut = np.split(keys, first[1:])
+            yield pa.record_batch({"part": pa.array(own, pa.int32()), "step": pa.array(np.full(len(own), steps[0]), pa.int64()), "data": pa.array([k.tobytes() for k in cut], pa.binary())})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, filled = None, None
+        for part, steps, data in ((p, s, d) for b in batches for ps, ss, ds in chunks([b], "part", "step", "data") for p, s, d in zip(ps, ss, ds)):
+            if steps < 0:
+                at, filled = part, np.frombuffer(data, np.uint8)
+                continue
+            keys = np.frombuffer(data, np.uint64)
+            found = probed(keys, np.zeros(len(keys), np.int64), filled, bits) if at == part else np.zeros(len(keys), np.int64)
+            yield pa.record_batch({"step": pa.array([steps], pa.int64()), "part": pa.array([part], pa.int32()), "data": pa.array([found.astype(np.uint8).tobytes()], pa.binary()), "rows": pa.nulls(1, pa.binary()), "sizes": pa.nulls(1, pa.binary())})
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            h, ids, sizes = (np.frombuffer(x, kind) for x, kind in zip(own, (np.uint64, np.int64, np.int64)))
+            answers = Answers(_text_keys(h, sizes), np.frombuffer(b"".join(got), np.uint8))
+            return pa.record_batch({"row": pa.array(ids), "score": pa.array(model_scores(h, sizes, answers, total, distinct))})
+
+        own, got = None, []
+        for b in batches:
+            for part, *texts in ((p[0], d[0], r[0], s[0]) for p, d, r, s in chunks([b], "part", "data", "rows", "sizes", rows=1)):
+                if part < 0:
+                    if own:
+                        yield close()
+                    own, got = texts, []
+                else:
+                    got.append(texts[0])
+        if own:
+            yield close()
+
+    shape = "step long, part int, data binary, rows binary, sizes binary"
+    steps = written(numbered.select("row", "t").mapInArrow(step, shape))
+    asked = parts.select("part", F.lit(-1).cast("long").alias("step"), F.col("map").alias("data")).union(steps.mapInArrow(ask, "part int, step long, data binary"))
+    answers = asked.repartition(1 << lead, "part").sortWithinPartitions("part", "step").mapInArrow(answer, shape)
+    return steps.union(answers).repartition("step").sortWithinPartitions("step", "part").mapInArrow(finish, "row long, score double")
+
+
 def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, n_tokens, n_known, train_tokens, base_score and score of each row; the rows for which ``training`` holds teach."""
     spark = docs.sparkSession
@@ -276,12 +370,14 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     total, distinct = int(sums["n"]), int(sums["v"])
     top = counts.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
     hot = dict(zip(top["word"].cast(pa.binary()).to_pylist(), top["n"].to_pylist()))
-    shared = spark.sparkContext.broadcast((hot, build_filter(texts, total)))
+    parts, bits, lead = filter_parts(texts, total)
+    small = BITS_PER_TOKEN * total <= FILTER_BYTES * 8
+    shared = spark.sparkContext.broadcast((hot, gathered(parts, bits, lead) if small else None))
     below = np.log10(total + 0.1 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (maps, bits, lead) = shared.value
-        filled = Filter(np.frombuffer(maps, np.uint8), bits, lead)
+        own, maps = shared.value
+        filled = Filter(np.frombuffer(maps, np.uint8), bits, lead) if small else None
         ends = own.get(END.encode(), 0)
         names = ["row", "k", "word", "n_tokens", "n_known", "base", "score", "times"]
         for ids, keys, rows in chunks(batches, "row", "k", "t"):
@@ -295,10 +391,10 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
             known = np.where(sizes > 0, np.add.reduceat(np.append(found > 0, False).astype(np.int64), starts), 0)
             if ends or not distinct:
                 base = base + (np.log10(ends + 0.1) - below)
-            models = model_scores(hashes(words), sizes, filled, total, distinct)
             n = len(rows)
+            models = model_scores(hashes(words), sizes, filled, total, distinct) if small else pa.nulls(n, pa.float64())
             none = pa.nulls(n, pa.int64())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, key_type), pa.array([f" {i}" for i in ids]), pa.array(sizes + 1), pa.array(known + (ends > 0)), pa.array(base), pa.array(models), none], names=names)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, key_type), pa.array([f" {i}" for i in ids]), pa.array(sizes + 1), pa.array(known + (ends > 0)), pa.array(base), models if isinstance(models, pa.Array) else pa.array(models), none], names=names)
             cold = np.flatnonzero(found == 0)
             if len(cold):
                 of = np.array(ids, np.int64)[np.searchsorted(np.cumsum(sizes), cold, side="right")]
@@ -308,7 +404,13 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
 
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema[key].dataType.simpleString()]
     numbered = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("row", _row_number())
+    if not small:
+        numbered = written(numbered)  # read twice, with the same numbers
     pieces = numbered.mapInArrow(run, f"row long, k {docs.schema[key].dataType.simpleString()}, word string, n_tokens long, n_known long, base double, score double, times long")
+    if not small:
+        of_parts = scores_by_parts(numbered, parts, bits, lead, total, distinct)
+        zero = F.lit(0).cast("long")
+        pieces = pieces.union(of_parts.select("row", F.lit(None).cast(docs.schema[key].dataType).alias("k"), F.concat(F.lit(" "), F.col("row").cast("string")), zero, zero, F.lit(0.0), "score", F.lit(None).cast("long")))
     c = F.coalesce(F.col("n"), F.lit(0))
     cold = F.col("times") * (F.log10(c + 0.1) - F.lit(float(below)))
     met = pieces.join(counts, "word", "left")

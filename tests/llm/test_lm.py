@@ -32,10 +32,20 @@ def plain_scores(teach, ask):
 
 
 def asked(spark, teach, ask):
-    rows = [(i, t, True) for i, t in enumerate(teach)] + [(100 + i, t, False) for i, t in enumerate(ask)]
+    rows = [(i, t, True) for i, t in enumerate(teach)] + [(100_000 + i, t, False) for i, t in enumerate(ask)]
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, teaches boolean"), F.col("teaches"))
-    return [r["score"] for r in got.where("doc_id >= 100").orderBy("doc_id").collect()]
+    return [r["score"] for r in got.where("doc_id >= 100000").orderBy("doc_id").collect()]
 
 
 def test_model_scores_equal_a_dictionary(spark):
     assert all(abs(a - b) < 1e-9 for a, b in zip(asked(spark, TEACH, ASK), plain_scores(TEACH, ASK), strict=True))
+
+
+def test_a_filter_beyond_the_broadcast_bound_grows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FILTER_BYTES", 64)
+    monkeypatch.setattr(lm, "ASK_TOKENS", 50)
+    teach = [*TEACH, *(f"x{i} y{i} x{i} z{i}" for i in range(4000))]
+    ask = [*ASK, *(f"x{i} y{i}" for i in range(50)), *(f"never{i} met{i}" for i in range(50))]
+    got = asked(spark, teach, ask)
+    monkeypatch.setattr(lm, "FILTER_BYTES", 1 << 26)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, asked(spark, teach, ask), strict=True))
