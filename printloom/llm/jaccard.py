@@ -161,7 +161,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(per: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b): links between nodes that connect all whose sets are similar. per: node, size, sketch, first (its key and hash)."""
-    rows = band_rows(per)
+    rows = written(band_rows(per))  # so no join runs beside Python
     heads = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("head")).where("n > 1")
     shared = written(rows.join(heads, "band"))
     sets = written(sets_of(docs, per.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("first.key").alias("key"), F.col("first.hash").alias("hash"), "node"), key, text))
