@@ -155,10 +155,14 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     apart = lambda c: F.forall("base", lambda b: (c["end"] <= b["start"]) | (c["start"] >= b["end"]))
     own = written(read.select("k", "h", "base", F.filter("tokens", apart).alias("tokens")))
 
-    seeds = own.where(F.size("base") > 0).select(F.explode("base").alias("s")).select("s.kind", "s.value", F.explode(patterns(F.col("s"))).alias("pattern"))
+    spans = own.where(F.size("base") > 0).select(F.explode("base").alias("s"))
+    seeds_of = spans.select("s.kind", "s.value")
+    seeds = spans.select("s.kind", "s.value", F.explode(patterns(F.col("s"))).alias("pattern"))
     tokens = own.where(F.size("tokens") > 0).select("k", "h", F.explode("tokens").alias("s"))
     found = bootstrap(seeds, tokens.select("s.value", F.explode(patterns(F.col("s"))).alias("pattern")))
-    hits = tokens.select("k", "h", "s.start", "s.end", "s.value").join(found.select("value", "kind"), "value")
+    # a value accepted in one place is marked in all; a seed's kind is that of its base match
+    known = seeds_of.groupBy("value").agg(F.min("kind").alias("kind")).union(found.select("value", "kind"))
+    hits = tokens.select("k", "h", "s.start", "s.end", "s.value").join(known, "value")
     added = hits.groupBy("k", "h").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more")).select(F.col("k").alias("k2"), F.col("h").alias("h2"), "more")
     joined = own.join(added, own.k.eqNullSafe(F.col("k2")) & (own.h == F.col("h2")), "left")
 
