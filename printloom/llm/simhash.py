@@ -1,17 +1,27 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Distinct fingerprints are indexed by each 32-bit half. Two that differ in at most three bits have a half in which
-they differ in at most one, so every fingerprint is looked up under all values within one bit of each of its halves,
-and complete distances are verified among what one value fetches. Per value only a spanning forest of the links is
-kept: connected classes need no more, and a group of n near copies gives n - 1 rows, not n squared.
-
-Cases: a null text is an empty one; texts without words have fingerprint zero and link like any other; whole texts
-are read; exact copies share a fingerprint and meet before any search; rows whose id is null keep a null component
-unless others of their class have ids; an empty table gives an empty one; other columns are not read.
+Distinct fingerprints are indexed by segments, each under all values within one bit of the segment's own. Two whose
+values meet under some key are compared by complete distance. Per key only a spanning forest of the links is kept:
+connected classes need no more, and a group of n near copies gives n - 1 rows, not n squared.
+
+``near_duplicates`` has 64 bits in two segments: two fingerprints that differ in at most three bits have a half in
+which they differ in at most one, so no link is missed.
+
+``one_of_each`` takes texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such fingerprints
+differ in up to 15 % of their bits, so these are wider: segments as long as the logarithm of the number of documents,
+so that keys stay selective, and as many that a pair at just 0.8 meets with a chance of 1 - MISS (two balls meet up to
+two bits apart). Fingerprints within NEAR_BITS of 128 tie texts to groups of candidates; within a group every link is
+verified exactly on whole shingle sets.
+
+Cases: a null text is an empty one; texts without words have fingerprint zero and link like any other (they are one
+group of equal sets); a text of fewer words than a shingle is one shingle; whole texts are read; exact copies share a
+fingerprint and meet before any search; rows whose id is null keep a null component unless others of their class have
+ids, and go last where one row stays; an empty table gives an empty one; other columns are not read, and stay.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +32,40 @@ from pyspark.sql import functions as F
 
 from printloom.llm.common import chunks, written
 from printloom.llm.graph import components
+from printloom.llm.lm import hashes, mixed, words_of
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
-#: Fingerprints of one index value that are compared in memory at once; more are divided by the bytes of their other half.
+#: Fingerprints of one index value that are compared in memory at once; more are dealt into blocks that meet two at a time.
 BUCKET = 4096
+#: Index values with more fingerprints than this are compared from leader to leader, fewer all at once.
+SMALL = 64
+#: Rows of the index that are compared in one step, but for what the last value adds.
+STEP_ROWS = 1 << 17
 #: A fingerprint is hot if over 1/HOT_SHARE of all rows have it, so there are fewer than HOT_SHARE such.
 HOT_SHARE = 1000
 
+#: One row of each group: words of a shingle, least Jaccard similarity as a fraction of whole numbers.
+NEAR_WORDS, NEAR = 5, (4, 5)
+#: Bits of 128 in which candidates may differ: over four standard deviations above the mean at 0.8.
+NEAR_BITS = 38
+#: Chance that a bit differs between sets of equal size with a similarity of 0.8: the angle of cosine 8/9 over pi.
+FLIP = math.acos(8 / 9) / math.pi
+#: Chance that a pair at just 0.8 shares no index value; least bits of a segment.
+MISS, LEAST_BITS = 0.01, 12
+#: Shingles, and texts, of a group of candidates that are compared in memory at once: more are dealt into blocks.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 18, 2048
+
 _HALF = (1 << 32) - 1
+_A = np.uint64(0x9E3779B97F4A7C15)
+
+
+# --- fingerprints ----------------------------------------------------------------------------------------------------
+
+
+def bit_sums(h: np.ndarray) -> np.ndarray:
+    """How many rows of a matrix of 64-bit numbers have each bit set; eight counts are summed in one number."""
+    lanes = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").view(np.uint64)
+    return np.add.reduceat(lanes, np.arange(0, len(h), 255), axis=0).view(np.uint8).sum(0, dtype=np.int64)
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -42,7 +78,7 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     h = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):  # whole texts, a bounded part at a time
-        ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += bit_sums(h[at : at + (1 << 14), None])
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
@@ -50,78 +86,213 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     """Key, fp (64 bits as a long) and hash (of the text, to tell rows of one key apart) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts, hashes in chunks(batches, "k", "t", "h"):
+        for keys, texts, marks in chunks(batches, "k", "t", "h"):
             fp = np.array([fingerprint(t, words) for t in texts], np.uint64)
-            yield pa.record_batch({"k": pa.array(keys), "fp": pa.array(fp.view(np.int64)), "h": pa.array(hashes, pa.int64())})
+            yield pa.record_batch({"k": pa.array(keys), "fp": pa.array(fp.view(np.int64)), "h": pa.array(marks, pa.int64())})
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     return rows.mapInArrow(run, f"k {kind}, fp long, h long").withColumnsRenamed({"k": key, "h": "hash"})
 
 
-def forest(fps: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links of at most ``bits`` that connect the same fingerprints as all such links do; at most one less than there are."""
-    left, out = fps, []
+def shingle_set(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles of a whole text, ascending."""
+    h = hashes(words_of(text))
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    n = min(words, len(h))
+    out = h[: len(h) - n + 1]
+    for i in range(1, n):
+        out = mixed(out * _A + h[i : len(h) - n + 1 + i])
+    return np.unique(out)
+
+
+def wide_fingerprint(own: np.ndarray, width: int) -> np.ndarray:
+    """``width`` 64-bit numbers, each bit set if over half of the distinct shingles' hashes have it set."""
+    salt = np.arange(1, width + 1, dtype=np.uint64) * _A
+    ones = np.zeros(64 * width, np.int64)
+    for at in range(0, len(own), 1 << 13):
+        ones += bit_sums(mixed(own[at : at + (1 << 13), None] ^ salt))
+    return np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)
+
+
+def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """key, hash (of the text), node (digest of the shingle set), size, and the wide fingerprint of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts, marks in chunks(batches, "k", "t", "h"):
+            sets = [shingle_set(t) for t in texts]
+            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.record_batch({"key": pa.array(keys), "hash": pa.array(marks, pa.int64()), "node": pa.array(nodes), "size": pa.array([len(s) for s in sets], pa.int64()), "print": pa.array([wide_fingerprint(s, width).tobytes() for s in sets], pa.binary())})
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(run, f"key {kind}, hash long, node long, size long, print binary")
+
+
+# --- the index -------------------------------------------------------------------------------------------------------
+
+
+def names(prints: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each row of a matrix of fingerprints: the fingerprint itself if it has 64 bits."""
+    return prints[:, 0] if prints.shape[1] == 1 else mixed(mixed(prints[:, 0]) * _A + prints[:, 1])
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def close_pairs(lengths: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places a < b of rows in the same run, at most ``bits`` apart; runs of ``lengths`` rows stand end to end."""
+    end = np.repeat(np.cumsum(lengths), lengths)
+    first, step, a, b = np.arange(len(prints)), 1, [], []
+    while len(first := first[first + step < end[first]]):
+        near = first[distances(prints[first], prints[first + step]) <= bits]
+        a.append(near)
+        b.append(near + step)
+        step += 1
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def forest(prints: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links of at most ``bits`` that connect the same rows as all such links do; at most one less than there are."""
+    left, a, b = np.arange(len(prints)), [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= bits
+            near = distances(prints[left], prints[at]) <= bits
             if near.any():
                 found = left[near]
-                out += [(int(at), int(x)) for x in found]
-                queue += list(found)
+                a += [at] * len(found)
+                b += found.tolist()
+                queue += found.tolist()
                 left = left[~near]
-    return out
+    return np.array(a, np.int64), np.array(b, np.int64)
+
 
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b) form a forest that connects the same as all: each root takes one edge to a lesser one, in rounds."""
+    points, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = flat[: len(a)], flat[len(a) :]
+    label, kept, left = np.arange(len(points)), [], np.arange(len(a))
+    while len(left := left[label[u[left]] != label[v[left]]]):
+        x, y = label[u[left]], label[v[left]]
+        high, at = np.unique(np.maximum(x, y), return_index=True)
+        kept.append(left[at])
+        label[high] = np.minimum(x, y)[at]
+        while not np.array_equal(further := label[label], label):
+            label = further
+    return np.concatenate([np.empty(0, np.int64), *kept])
 
-def _runs(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    """From rows (key, fp) sorted by key: links (a, b, null) within each key.
 
-    A key with over BUCKET fingerprints is passed on as rows (fp, null, part) instead, where a part is the key and one
-    byte of the other half, unless ``whole`` says to compare it here.
+def _runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """From rows (key, f0, ...) sorted by key: links (a, b, null ...) within keys.
+
+    A key with over BUCKET rows is passed on instead, as rows (key, null, f0, ...).
     """
-    def emit(a: list, b: list, part: list) -> pa.RecordBatch:
-        return pa.record_batch({"a": pa.array(np.array(a, np.uint64).view(np.int64) if len(a) else [], pa.int64()), "b": pa.array(b, pa.int64()), "part": pa.array(part, pa.int64())})
-
-    def close(key: int, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        links = forest(np.unique(fps))
-        if links:
-            a, b = zip(*links)
-            yield emit(list(a), np.array(b, np.uint64).view(np.int64).tolist(), [None] * len(a))
-
-    def passed(key: int, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        shift = 0 if key >> 32 else 32  # bits of the half that the key is not
-        for j in range(4):
-            byte = (fps >> np.uint64(shift + 8 * j)) & np.uint64(255)
-            part = [hash((key, j, x)) for x in byte.tolist()]
-            yield emit(fps.tolist(), [None] * len(fps), part)
-
-    held_key, held, over = None, [], False
+
+    def passed(key: int, prints: np.ndarray) -> pa.RecordBatch:
+        n = len(prints)
+        return pa.record_batch({"a": pa.array(np.full(n, key, np.int64)), "b": pa.nulls(n, pa.int64()), **{f"f{i}": pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(prints.shape[1])}})
+
+    def linked(a: np.ndarray, b: np.ndarray, width: int) -> pa.RecordBatch:
+        return pa.record_batch({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), **{f"f{i}": pa.nulls(len(a), pa.int64()) for i in range(width)}})
+
+    def close(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+        lengths = np.diff(cuts)
+        small = (lengths > 1) & (lengths <= SMALL)
+        rows = np.repeat(small, lengths)
+        own = prints[rows]
+        a, b = close_pairs(lengths[small], own, bits)
+        found = [(names(own[a]), names(own[b]))]
+        for i in np.flatnonzero(lengths > SMALL).tolist():
+            own = np.unique(prints[cuts[i] : cuts[i + 1]], axis=0)
+            if len(own) > BUCKET:
+                yield passed(int(keys[cuts[i]]), own)
+                continue
+            a, b = forest(own, bits)
+            found.append((names(own[a]), names(own[b])))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        edges = edges[spanning(edges[:, 0], edges[:, 1])]
+        yield linked(np.ascontiguousarray(edges[:, 0]), np.ascontiguousarray(edges[:, 1]), prints.shape[1])
+
+    held, size, over = [], 0, None  # over: a key of which rows have passed on already
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        starts = np.concatenate([[0], cuts]) if len(keys) else []
-        ends = np.concatenate([cuts, [len(keys)]]) if len(keys) else []
-        for s, e in zip(starts, ends):
-            if held_key is not None and keys[s] != held_key:
-                if over:
-                    yield from passed(held_key, np.concatenate(held))
-                elif sum(map(len, held)) > 1:
-                    yield from close(held_key, np.concatenate(held))
-                held, over = [], False
-            held_key = int(keys[s])
-            held.append(fps[s:e])
-            if not whole and (over or sum(map(len, held)) > BUCKET):
-                over = True
-                yield from passed(held_key, np.concatenate(held))
-                held = [np.empty(0, np.uint64)]
-    if held_key is not None:
-        if over:
-            yield from passed(held_key, np.concatenate(held))
-        elif sum(map(len, held)) > 1:
-            yield from close(held_key, np.concatenate(held))
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held.append((columns[0], np.stack(columns[1:], 1).view(np.uint64)))
+        size += batch.num_rows
+        if size >= STEP_ROWS:
+            keys, prints = (np.concatenate(x) for x in zip(*held))
+            if (more := int(np.searchsorted(keys, over, "right")) if over == keys[0] else 0):
+                yield passed(over, prints[:more])
+                keys, prints, size = keys[more:], prints[more:], size - more
+            if size < STEP_ROWS:
+                held = [(keys, prints)] if size else []
+                continue
+            whole = int(np.searchsorted(keys, keys[-1])) if keys[0] <= keys[-1] else 0  # the last key may go on
+            if whole:
+                yield from close(keys[:whole], prints[:whole])
+            elif size > STEP_ROWS + BUCKET:  # one key alone: only its distinct fingerprints are kept, beyond that they pass on
+                prints = np.unique(prints, axis=0)
+                if len(prints) > BUCKET:
+                    over = int(keys[0])
+                    yield passed(over, prints)
+                    prints = prints[:0]
+                keys, whole = keys[: len(prints)], 0
+            held, size = [(keys[whole:], prints[whole:])], len(keys) - whole
+    if held and size:
+        keys, prints = (np.concatenate(x) for x in zip(*held))
+        more = int(np.searchsorted(keys, over, "right")) if over == keys[0] else 0
+        if more:
+            yield passed(over, prints[:more])
+        if more < size:
+            yield from close(keys[more:], prints[more:])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """From rows (part, f0, ...) sorted by part, each part two blocks of a key at most: links within each part."""
+    part, held = None, []
+
+    def close() -> pa.RecordBatch:
+        own = np.unique(np.concatenate(held), axis=0)
+        a, b = (names(own[x]) for x in forest(own, bits))
+        return pa.record_batch({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+
+    for batch in batches:
+        keys, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        prints = np.stack(columns, 1).view(np.uint64)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            if s < e:
+                if keys[s] != part and held:
+                    yield close()
+                    held = []
+                part = keys[s]
+                held.append(prints[s:e])
+    if held:
+        yield close()
+
+
+def near_links(looked: DataFrame, bits: int) -> DataFrame:
+    """(a, b): names of fingerprints at most ``bits`` apart that share a key, as many as connect all such. looked: key, f0, ..."""
+    prints = [c for c in looked.columns if c != "key"]
+    shape = ", ".join(f"{c} long" for c in ("a", "b", *prints))
+    first = written(looked.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, bits), shape))
+    found = first.where("b IS NOT NULL").select("a", "b")
+    large = first.where("b IS NULL").select(F.col("a").alias("key"), *prints)
+    if not large.isEmpty():
+        dealt = large.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"))
+        own, other = F.pmod(F.xxhash64(*prints), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        met = large.join(dealt, "key").withColumns({"own": own, "other": other})
+        part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part")
+        found = found.union(met.select(part, *prints).repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _blocks(it, bits), "a long, b long"))
+    return found.distinct()
 
 
 def links(distinct: DataFrame, column: str = "fp") -> DataFrame:
@@ -131,13 +302,9 @@ def links(distinct: DataFrame, column: str = "fp") -> DataFrame:
     ball = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     # the ball around each half, and which half it is in bit 32
     keys = F.concat(F.transform(ball, lambda m: low.bitwiseXOR(m)), F.transform(ball, lambda m: high.bitwiseXOR(m).bitwiseOR(F.lit(1 << 32))))
-    looked = distinct.select(F.explode(keys).alias("key"), fp.alias("fp"))
-    first = written(looked.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, False), "a long, b long, part long"))
-    found = first.where("part IS NULL").select("a", "b")
-    more = first.where("part IS NOT NULL").select(F.col("part").alias("key"), F.col("a").alias("fp"))
-    if not more.isEmpty():
-        found = found.union(more.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, True), "a long, b long, part long").select("a", "b"))
-    return found.distinct()
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.repartition(tasks, column)  # 66 rows come of each: a few small files would give a few large tasks
+    return near_links(spread.select(F.explode(keys).alias("key"), fp.alias("f0")), MAX_BITS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -158,21 +325,162 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return rows.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- the stage that keeps one of each group ---------------------------------------------------------------------------
+
+
+def reach(bits: int) -> float:
+    """Chance that two segments of ``bits`` bits, each of which differs with chance FLIP, differ in at most two."""
+    return sum(math.comb(bits, k) * FLIP**k * (1 - FLIP) ** (bits - k) for k in range(3))
+
+
+def plan_segments(texts: int) -> tuple[int, int]:
+    """Bits of a segment and number of segments for so many texts."""
+    bits = max(LEAST_BITS, texts.bit_length() - 1)
+    return bits, math.ceil(math.log(MISS) / math.log(1 - reach(bits)))
+
+
+def ball_rows(per: DataFrame, bits: int, segments: int) -> DataFrame:
+    """key, f0 and f1: a row for each value within one bit of each segment of each fingerprint."""
+    ball = np.concatenate([[0], 1 << np.arange(bits)]).astype(np.uint64)
+    weight = (1 << np.arange(bits)).astype(np.uint64)
+    mark = (np.arange(segments, dtype=np.uint64) << np.uint64(bits))[None, :, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (prints,) in chunks(batches, "print"):
+            wide = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+            set_bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")[:, : bits * segments]
+            value = set_bits.reshape(len(prints), segments, bits).astype(np.uint64) @ weight
+            keys = ((value[:, :, None] ^ ball) | mark).reshape(len(prints), -1)
+            two = np.repeat(wide[:, :2], keys.shape[1], axis=0).view(np.int64)
+            yield pa.record_batch({"key": pa.array(keys.ravel().view(np.int64)), "f0": pa.array(np.ascontiguousarray(two[:, 0])), "f1": pa.array(np.ascontiguousarray(two[:, 1]))})
+
+    return per.select("print").mapInArrow(run, "key long, f0 long, f1 long")
+
+
+def named(per: DataFrame) -> DataFrame:
+    """The rows with ``name``, that of their fingerprint's first 128 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, prints in chunks(batches, "node", "print"):
+            wide = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "name": pa.array(names(wide[:, :2]).view(np.int64)), "two": pa.array([p[:16] for p in prints], pa.binary())})
+
+    return per.select("node", "print").mapInArrow(run, "node long, name long, two binary")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """node and set of the rows (key, hash, node) that are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, texts in chunks(batches, "node", "t"):
+            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "set": pa.array([shingle_set(t).view(np.int64) for t in texts], pa.list_(pa.int64()))})
+
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    met = rows.join(wanted, rows.k.eqNullSafe(wanted["key"]) & (rows.h == wanted["hash"]))
+    return met.select("node", "t").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * NEAR[1] >= (len(a) + len(b) - both) * NEAR[0]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (part, side, node, label, two, set) sorted by part: links between similar nodes of different labels.
+
+    Sides 0 and 1 are compared with each other, side 2 with itself. Each link joins two labels that were apart, so a
+    part gives fewer links than it has rows.
+    """
+
+    def close(rows: list[tuple]) -> pa.RecordBatch:
+        side, node, label = (np.array(x, np.int64) for x in list(zip(*rows))[:3])
+        sets = [r[4] for r in rows]
+        size = np.array([len(s) for s in sets], np.int64)
+        prints = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), 2)
+        place, a, b = np.arange(len(rows)), [], []
+        for i in np.flatnonzero(side != 1).tolist():
+            other = place[(label != label[i]) & ((side == 1) if side[i] == 0 else (side == 2) & (place > i))]
+            other = other[np.minimum(size[other], size[i]) * NEAR[1] >= np.maximum(size[other], size[i]) * NEAR[0]]
+            other = other[distances(prints[other], prints[i]) <= NEAR_BITS]
+            for j in other.tolist():
+                if label[j] != label[i] and similar(sets[i], sets[j]):
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+                    label[label == label[j]] = label[i]
+        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    part, held = None, []
+    for batch in batches:
+        sets = batch.column(5)
+        for n, (p, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
+            if p != part and held:
+                yield close(held)
+                held = []
+            part = p
+            held.append((*row, np.array(sets[n].values)))  # a copy: no batch is kept
+    if held:
+        yield close(held)
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    return rows.select("part", "side", "node", "label", "two", "set").repartition("part").sortWithinPartitions("part").mapInArrow(_compared, "a long, b long")
+
+
+def verified_links(per: DataFrame, docs: DataFrame, key: str, text: str, bits: int, segments: int) -> DataFrame:
+    """(a, b): links between nodes that connect all whose sets are similar. per: node, size, print, first (its key and hash)."""
+    own = written(named(per))
+    near = written(near_links(ball_rows(per, bits, segments), NEAR_BITS))
+    groups = components(near).select(F.col("node").alias("name"), F.col("component").alias("group"))
+    tied = own.join(groups, "name", "left").withColumn("group", F.coalesce("group", "name")).join(per.select("node", "size", "first"), "node")
+    degrees = near.select(F.col("a").alias("name")).union(near.select("b")).groupBy("name").agg(F.count("*").alias("degree"))
+    ranked = written(tied.join(degrees, "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
+    lead = F.max(F.struct("degree", "node"))["node"].alias("leader")
+    sizes = ranked.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total"), lead).where("n > 1")
+    members = ranked.select("group", "node", "size", "two", "first").join(sizes, "group")
+    sets = sets_of(docs, members.select(F.col("first.key").alias("key"), F.col("first.hash").alias("hash"), "node"), key, text)
+    whole = written(members.select("group", "node", "size", "two", "n", "total", "leader").join(sets, "node"))
+    small = (F.col("total") <= BLOCK_SHINGLES) & (F.col("n") <= BLOCK_TEXTS)
+    found = compared(whole.where(small).select(F.col("group").alias("part"), F.lit(2).cast("long").alias("side"), "node", F.col("node").alias("label"), "two", "set"))
+    if whole.where(~small).isEmpty():
+        return found
+
+    # a large group: first each text against the one with most links, then what is left against all, in blocks
+    large = whole.where(~small)
+    heads = large.where("node = leader").select("group", F.col("set").alias("head"))
+    both = F.size(F.array_intersect("set", "head"))
+    is_near = both * NEAR[1] >= (F.size("set") + F.size("head") - both) * NEAR[0]
+    led = written(large.join(heads, "group").withColumn("led", is_near).drop("head"))
+    rest = written(led.where("NOT led"))
+    blocks = lambda by: F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).cast("int").alias(by)
+    counts = rest.groupBy("group").agg(blocks("rest_blocks")).join(led.where("led").groupBy("group").agg(blocks("led_blocks")), "group")
+    alone = rest.join(counts, "group")
+    block = lambda by: F.pmod(F.xxhash64("node"), F.col(by)).cast("int")
+    every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    own_part = alone.withColumns({"own": block("rest_blocks"), "other": every("rest_blocks")})
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
+    among = own_part.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("part"), side.alias("side"), "node", F.col("node").alias("label"), "two", "set")
+    across = lambda rows, i, j, side, label: rows.withColumns({"i": i, "j": j}).select(F.xxhash64(F.lit("led"), "group", "i", "j").alias("part"), F.lit(side).cast("long").alias("side"), "node", F.col(label).alias("label"), "two", "set")
+    left = across(alone, block("rest_blocks"), every("led_blocks"), 0, "node")
+    right = across(led.where("led").join(counts, "group"), every("rest_blocks"), block("led_blocks"), 1, "leader")
+    linked = led.where("led AND node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    return found.union(linked).union(compared(among)).union(compared(left.union(right)))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: that of the least key (null keys last), then the least hash of its text; every column stays.
+    """One row of each group of similar texts: that of the least key (null keys last), then the least hash of its text.
 
-    Groups are chosen per fingerprint first, so copies never meet in one place. Rows that repeat a key and its text
-    stay once.
+    Every column stays. Rows that repeat a key and its text stay once.
     """
-    own = written(fingerprints(docs, key, text))
-    first = F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "hash")).alias("first")
-    per = written(own.groupBy("fp").agg(first))
-    member = components(links(per))
-    label = F.coalesce("component", "fp")
-    best = per.join(member.withColumnRenamed("node", "fp"), "fp", "left").groupBy(label.alias("label")).agg(F.min("first").alias("first"))
+    bits, segments = plan_segments(docs.count())
+    own = written(signatures(docs, key, text, max(2, math.ceil(bits * segments / 64))))
+    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "hash")).alias("first")
+    per = written(own.groupBy("node").agg(first, F.first("size").alias("size"), F.first("print").alias("print")))
+    member = components(verified_links(per, docs, key, text, bits, segments))
+    label = F.coalesce("component", "node")
+    best = per.select("node", "first").join(member, "node", "left").groupBy(label.alias("label")).agg(F.min("first").alias("first"))
     kept = written(best.select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash")))
     out = docs.join(kept, docs[key].eqNullSafe(kept["_key"]) & (F.xxhash64(docs[text]) == kept["_hash"]), "left_semi")
-    if own.groupBy(key, "hash").count().where("count > 1").isEmpty():
+    if own.groupBy("key", "hash").count().where("count > 1").isEmpty():
         return out
     packed = out.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
     return packed.dropDuplicates(["key", "hash"]).select("doc.*")

@@ -401,10 +401,7 @@ def test_components_equal_brute_force(spark, sample):
     assert {i: got[i][1] for i in ids} == want
     assert got[900][0] == got[901][0] == "0" * 16 and len(rows) == len(texts)
     assert [simhash.fingerprint(want_text) for want_text in ("Ab c", "aB  c\n")][0] == simhash.fingerprint("ab c")
-    kept = simhash.one_of_each(docs(spark, texts))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
-    odd = [(7, "one text of its own here"), (7, "one text of its own here"), (None, "no id at all and alone"), (None, "no id at all and alone"), (None, "one text of its own here"), (8, "")]
-    assert sorted(map(str, (tuple(r)[:2] for r in simhash.one_of_each(docs(spark, odd)).collect()))) == sorted(map(str, [(7, "one text of its own here"), (None, "no id at all and alone"), (8, "")]))
+    assert simhash.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
 def test_dense_classes_are_divided_and_lose_no_link(spark, monkeypatch):
@@ -428,18 +425,22 @@ def test_dense_classes_are_divided_and_lose_no_link(spark, monkeypatch):
         return sorted(sorted(y for y in signed if root(y) == x) for x in signed if root(x) == x)
 
     whole = classes(simhash.links(df))
-    monkeypatch.setattr(simhash, "BUCKET", 20)
-    held = simhash._runs
-    import pyarrow as pa
-
-    keys = sorted((k, x) for x in fps for half, shift in ((0, 0), (1, 32)) for k in [(((x >> shift) & simhash._HALF) ^ m) | half << 32 for m in [0, *(1 << i for i in range(32))]])
-    batch = pa.record_batch({"key": pa.array([k for k, _ in keys], pa.int64()), "fp": pa.array([x - (1 << 64) if x >> 63 else x for _, x in keys], pa.int64())})
-    out = [r for b in held([batch], False) for r in b.to_pylist()]
-    again = sorted((r["part"], r["a"]) for r in out if r["part"] is not None)
-    assert again
-    batch = pa.record_batch({"key": pa.array([k for k, _ in again], pa.int64()), "fp": pa.array([x for _, x in again], pa.int64())})
-    small = [r for r in out if r["part"] is None] + [r for b in held([batch], True) for r in b.to_pylist()]
-    assert classes(spark.createDataFrame([(r["a"], r["b"]) for r in small], "a long, b long")) == whole
+    for small, bucket, step in ((2, 20, 50), (8, 5, 1), (300, 400, 1 << 17)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        monkeypatch.setattr(simhash, "STEP_ROWS", step)
+        assert classes(simhash.links(df)) == whole
+
+
+def test_fingerprints_equal_a_plain_version(sample):
+    import xxhash
+
+    for t in [t for _, t in sample[:30]] + ["", " ", "One", "one two", "A b c", "a b c a b c a b c a b c", "é É ſ K x"]:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        w = [x for x in re.split("[\x20\x09-\x0D]+", w) if x]
+        own = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in own]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 # --- mixing ------------------------------------------------------------------------------------------------------------

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from printloom.llm import jaccard
+from printloom.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,12 +47,39 @@ def test_near_dedup_keeps_one_of_each_group_of_similar_texts(spark, monkeypatch)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA)
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
-    monkeypatch.setattr(jaccard, "BLOCK", 2)  # bands in many blocks
-    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == sorted(set(want.values()))
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 2)  # groups in many blocks
+    monkeypatch.setattr(simhash, "BUCKET", 3)  # index values in many blocks
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    monkeypatch.setattr(simhash, "STEP_ROWS", 50)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(want.values()))
 
 
 def test_keys_that_repeat_or_are_null(spark):
     odd = [(7, "one text of its own here"), (7, "one text of its own here"), (None, "no id at all and alone"), (None, "no id at all and alone"), (None, "one text of its own here"), (8, "")]
-    rows = jaccard.one_of_each(spark.createDataFrame([(i, t, None, None, None) for i, t in odd], SCHEMA)).collect()
+    rows = simhash.one_of_each(spark.createDataFrame([(i, t, None, None, None) for i, t in odd], SCHEMA)).collect()
     assert sorted(map(str, (tuple(r)[:2] for r in rows))) == sorted(map(str, [(7, "one text of its own here"), (None, "no id at all and alone"), (8, "")]))
-    assert jaccard.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert simhash.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_wide_fingerprints_equal_plain_majorities():
+    own = simhash.shingle_set(" ".join(f"w{i * i % 97}" for i in range(700)))
+    for rows in (own, own[:1], own[:255], own[:256]):
+        plain = []
+        for w in range(3):
+            h = [int(simhash.mixed(np.array([x ^ np.uint64((w + 1) * int(simhash._A) & (1 << 64) - 1)]))[0]) for x in rows]
+            plain.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+        assert simhash.wide_fingerprint(rows, 3).tolist() == plain
+
+
+def test_a_segment_plan_reaches_pairs_at_the_least_similarity():
+    for n in (0, 1, 10**5, 10**7, 10**9):
+        bits, segments = simhash.plan_segments(n)
+        assert (1 - simhash.reach(bits)) ** segments <= simhash.MISS and 2**bits >= n / 2
+    rng, bits, segments, met = np.random.default_rng(4), 14, 6, 0
+    for _ in range(300):  # sets of 400 with a similarity of 0.8
+        pool = rng.integers(0, 1 << 63, 445, dtype=np.uint64)
+        a, b = (simhash.wide_fingerprint(np.unique(x), 2) for x in (pool[:400], pool[45:]))
+        assert simhash.distances(a[None], b[None])[0] <= simhash.NEAR_BITS
+        cut = lambda x: np.unpackbits(x.view(np.uint8), bitorder="little")[: bits * segments].reshape(segments, bits)
+        met += ((cut(a) != cut(b)).sum(1) <= 2).any()
+    assert met >= 291
