@@ -307,6 +307,17 @@ def links(distinct: DataFrame, column: str = "fp") -> DataFrame:
     return near_links(spread.select(F.explode(keys).alias("key"), fp.alias("f0")), MAX_BITS)
 
 
+def joined_hot(rows: DataFrame, table: DataFrame, by: str, total: int) -> DataFrame:
+    """The rows with what ``table`` (one row for each value of ``by``, held by n of ``total`` rows) says of their value.
+
+    Rows of a hot value find it in a broadcast of fewer than HOT_SHARE rows, all others by a shuffle.
+    """
+    hot = F.col("n") * HOT_SHARE > total
+    marked = rows.join(F.broadcast(table.where(hot).select(by, F.lit(True).alias("is_hot"))), by, "left")
+    cold = marked.where("is_hot IS NULL").drop("is_hot").join(table.where(~hot), by)
+    return cold.unionByName(marked.where("is_hot").drop("is_hot").join(F.broadcast(table.where(hot)), by))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """Key, fingerprint (16 hexadecimal digits) and component_id (the least key that links reach) of each row."""
     own = written(fingerprints(docs, key, text, words))
@@ -316,12 +327,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     other = member.join(least, "component").select(F.col("node").alias("fp"), "reach")
     known = written(per.join(other, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"), "n"))
     total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") * HOT_SHARE > total
-    # rows of a hot fingerprint find it in a broadcast of fewer than HOT_SHARE rows, all others by a shuffle
-    few = known.where(hot).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
-    marked = own.join(F.broadcast(few), "fp", "left")
-    rest = marked.where("is_hot IS NULL").select(key, "fp").join(known.where(~hot).select("fp", "component_id"), "fp")
-    rows = rest.select(key, "fp", "component_id").union(marked.where("is_hot").select(key, "fp", F.col("hot_id").alias("component_id")))
+    rows = joined_hot(own.select(key, "fp"), known, "fp", total)
     return rows.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -436,7 +442,7 @@ def verified_links(per: DataFrame, docs: DataFrame, key: str, text: str, bits: i
     ranked = written(tied.join(degrees, "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
     lead = F.max(F.struct("degree", "node"))["node"].alias("leader")
     sizes = ranked.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total"), lead).where("n > 1")
-    members = ranked.select("group", "node", "size", "two", "first").join(sizes, "group")
+    members = joined_hot(ranked.select("group", "node", "size", "two", "first"), written(sizes), "group", ranked.count())
     sets = sets_of(docs, members.select(F.col("first.key").alias("key"), F.col("first.hash").alias("hash"), "node"), key, text)
     whole = written(members.select("group", "node", "size", "two", "n", "total", "leader").join(sets, "node"))
     small = (F.col("total") <= BLOCK_SHINGLES) & (F.col("n") <= BLOCK_TEXTS)
