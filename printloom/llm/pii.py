@@ -1,14 +1,16 @@
 """Personal data: base expressions, and bootstrapped contextual extraction, in DataFrame functions only.
 
-Base matches are seeds. The words around them make lexical patterns; around other tokens that hold digits they make
-the same patterns. The graph of patterns and instances is scored in rounds: a pattern's score for a kind is the share
-of its distinct instances that the kind has accepted; an instance's is the chance that not all its patterns err. What
-confident patterns discover is accepted for the next round, and its spans are added to the base spans, which all stay.
-
-Cases: a null text is an empty one; whole texts are searched, by expressions that take linear time and no recursion;
-repeated rows give repeated results; ids may repeat or be null (rows are matched by id and text); ties of an
-instance's kinds go to the kind listed first; an empty table gives an empty one; other columns are not read.
-Offsets are code points, ends exclusive.
+Base matches are seeds. The words around them make lexical patterns; around other candidates they make the same
+patterns: tokens with digits, runs of digit groups with spaces or brackets between them, and addresses spelt out with
+"at" and "dot". The graph of patterns and instances is scored until nothing new is found: a pattern's score for a kind
+is the share of its distinct instances that the kind has accepted; an instance's is the chance that not all its
+patterns err. What confident patterns discover is accepted for the next round, and its spans are added to the base
+spans, which all stay. A value that is a seed or found in one place is marked wherever it stands apart from base spans.
+
+Cases: a null text is an empty one; whole texts are searched, however many matches they hold (places are running sums
+in two levels, so a text of n matches takes n to the power 1.5 steps); repeated rows give repeated results; ids may
+repeat or be null (rows are matched by id and text); ties of an instance's kinds go to the kind listed first; an empty
+table gives an empty one; other columns are not read. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A token that may be an identifier: a run with a digit in it.
-TOKEN = r"(?<![A-Za-z0-9._@+-])[A-Za-z._@+-]*+[0-9][A-Za-z0-9._@+-]*+"
-MIN_TOKEN, MIN_DIGITS = 6, 4
-#: Rounds of scoring; distinct accepted instances and score that make a pattern confident; an instance's least score; trust in a pattern.
-ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE, TRUST = 3, 3, 0.5, 0.7, 0.9
-#: Characters of context that are looked at on either side.
-CONTEXT = 48
+#: What else may be an identifier: a token with a digit in it, a short run of digit groups, an address spelt out.
+CANDIDATES = (
+    r"(?<![A-Za-z0-9._@+-])[A-Za-z._@+-]*+[0-9][A-Za-z0-9._@+-]*+",
+    r"(?<![A-Za-z0-9._@+-])(?:\+|\()?+[0-9]++(?:[\x20().-]{1,3}+[0-9]++){1,7}+(?![A-Za-z0-9_@])",
+    r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?:\x20at\x20|\x20?\(at\)\x20?|\x20?\[at\]\x20?)[a-z0-9-]++(?:(?:\x20dot\x20|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)[a-z0-9-]++){1,4}+",
+)
+#: Least characters of a candidate.
+MIN_TOKEN = 4
+#: Distinct accepted instances and score that make a pattern confident; an instance's least score; trust in a pattern.
+MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE, TRUST = 3, 0.5, 0.7, 0.9
 
 SPAN = "struct<start:int,kind:int,end:int,value:string,left:string,right:string>"
 
@@ -69,25 +74,53 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def bound(x: Column, use) -> Column:
+    """``use`` of the value of x, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
+def running(values: Column, op, zero: int) -> Column:
+    """``op`` of each whole number and all before it: in blocks as long as there are blocks, then over the blocks."""
+    none = F.array().cast("array<int>")
+
+    def whole(v: Column) -> Column:
+        n = F.size(v)
+        side = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+        start = F.struct(F.lit(zero).alias("at"), none.alias("all"))
+
+        def block(j: Column) -> Column:
+            step = lambda s, x: bound(op(s["at"], x), lambda y: F.struct(y.alias("at"), F.concat(s["all"], F.array(y)).alias("all")))
+            return F.aggregate(F.slice(v, j * side + 1, side), start, step)
+
+        def joined(blocks: Column) -> Column:
+            before = F.aggregate(blocks, start, lambda s, b: F.struct(op(s["at"], b["at"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
+            return bound(before, lambda c: F.flatten(F.transform(blocks, lambda b, j: F.transform(b["all"], lambda y: op(F.get(c, j), y)))))
+
+        return F.when(n > 0, bound(F.transform(F.sequence(F.lit(0), F.ceil(n / side).cast("int") - 1), block), joined)).otherwise(none)
+
+    return bound(values, whole)
+
+
 def located(text: Column, pattern: str, kind: int) -> Column:
-    """All matches as structs of place, kind, value and what stands next to them, in order.
+    """All matches as structs of place, kind, value and the words next to them, in order.
 
-    The text split at the matches has one piece more than there are matches; lengths of both give the places.
+    The text split at the matches has one piece more than there are matches; running sums of lengths give the places.
     """
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def step(s: Column, i: Column) -> Column:
-        before, value, after = F.get(pieces, i), F.get(found, i), F.get(pieces, i + 1)
-        a = s["at"] + F.length(before)
-        b = a + F.length(value)
-        span = F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"), value.alias("value"), F.substring(before, -CONTEXT, CONTEXT).alias("left"), F.substring(after, 1, CONTEXT).alias("right"))
-        return F.struct(b.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
+    def spans(s: Column) -> Column:
+        found, pieces = s["found"], s["pieces"]
+        lengths = F.transform(found, lambda v, i: F.length(F.get(pieces, i)) + F.length(v))
+
+        def placed(ends: Column) -> Column:
+            def span(v: Column, i: Column) -> Column:
+                left, right = F.substring_index(F.rtrim(F.get(pieces, i)), " ", -4), F.substring_index(F.ltrim(F.get(pieces, i + 1)), " ", 2)
+                return F.struct((F.get(ends, i) - F.length(v)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), v.alias("value"), left.alias("left"), right.alias("right"))
 
-    n = F.size(found)
-    walked = F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), start, step)["spans"]
-    return walked
+            return F.transform(found, span)
+
+        return bound(running(lengths, lambda a, b: a + b, 0), placed)
+
+    return bound(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), spans)
 
 
 def base_spans(text: Column) -> Column:
@@ -102,15 +135,36 @@ def base_spans(text: Column) -> Column:
 
 
 def other_tokens(text: Column) -> Column:
-    """Tokens with digits, without closing punctuation."""
+    """Candidates without closing punctuation, by start."""
     empty = F.array().cast(f"array<{SPAN}>")
-    kept = F.filter(located(text, TOKEN, -1), lambda s: (F.length(s["value"]) >= MIN_TOKEN) & (F.length(digits(s["value"])) >= MIN_DIGITS))
 
     def trimmed(s: Column) -> Column:
         value = F.regexp_replace(s["value"], r"[._@+-]+$", "")
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (s["start"] + F.length(value)).alias("end"), value.alias("value"), s["left"].alias("left"), s["right"].alias("right"))
 
-    return F.when(text.rlike("[0-9]"), F.transform(kept, trimmed)).otherwise(empty)
+    signs = (text.rlike("[0-9]"), text.rlike(r"[0-9][\x20().-]{1,3}[0-9]"), text.rlike(r"(?i)(?:\x20|\(|\[)dot(?:\x20|\)|\])"))
+    found = [F.when(sign, F.transform(located(text, expression, -1), trimmed)).otherwise(empty) for sign, expression in zip(signs, CANDIDATES)]
+    return F.filter(F.concat(*found), lambda s: F.length(s["value"]) >= MIN_TOKEN)
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span: none that starts before ends later, none that starts later starts within."""
+    last = (1 << 31) - 1
+
+    def kept(t: Column) -> Column:
+        of_base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(-1).alias("of"), s["end"].alias("end")))
+        of_tokens = F.transform(t, lambda s, i: F.struct(s["start"].alias("start"), i.alias("of"), s["end"].alias("end")))
+
+        def tested(marks: Column) -> Column:
+            before = running(F.transform(marks, lambda m: F.when(m["of"] < 0, m["end"]).otherwise(0)), F.greatest, 0)
+            after = F.reverse(running(F.reverse(F.transform(marks, lambda m: F.when(m["of"] < 0, m["start"]).otherwise(last))), F.least, last))
+            both = F.struct(before.alias("before"), after.alias("after"))
+            free = lambda e: F.filter(marks, lambda m, i: (m["of"] >= 0) & (F.get(e["before"], i) <= m["start"]) & (F.get(e["after"], i) >= m["end"]))
+            return F.transform(bound(both, free), lambda m: F.get(t, m["of"]))
+
+        return bound(F.array_sort(F.concat(of_base, of_tokens)), tested)
+
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(bound(tokens, kept))
 
 
 def patterns(s: Column) -> Column:
@@ -128,32 +182,35 @@ def notation(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def bootstrap(seeds: DataFrame, tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """value and kind of the tokens that confident patterns discover. seeds: kind, value, pattern; tokens: value, pattern."""
+def bootstrap(seeds: DataFrame, tokens: DataFrame) -> DataFrame:
+    """value, kind and trust of what confident patterns discover. seeds: kind, value, pattern; tokens: value, pattern.
+
+    A round accepts what the patterns of all that was accepted before make likely enough; what is accepted stays so,
+    with its kind, and the rounds end when one finds nothing.
+    """
     edges = written(seeds.select("pattern", "value").union(tokens.select("pattern", "value")).distinct())
     open_edges = written(tokens.select("pattern", "value").distinct().join(seeds.select("value").distinct(), "value", "left_anti"))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    known = seeds.select("kind", "value").distinct().withColumn("trust", F.lit(1.0))
-    found = None
-    for _ in range(rounds):
-        accepted = known if found is None else known.union(found.select("kind", "value", "trust"))
-        support = edges.join(accepted, "value").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("trust").alias("weight")).where(F.col("support") >= MIN_SUPPORT)
+    sizes = written(edges.groupBy("pattern").agg(F.count("*").alias("n")))
+    known = written(seeds.select("kind", "value").distinct().withColumn("trust", F.lit(1.0)))
+    found = known.where("false")
+    while True:
+        support = edges.join(known.union(found), "value").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("trust").alias("weight")).where(F.col("support") >= MIN_SUPPORT)
         confident = support.join(sizes, "pattern").withColumn("score", F.least(F.lit(1.0), F.col("weight") / F.col("n"))).where(F.col("score") >= MIN_PATTERN)
         chance = 1 - F.exp(F.sum(F.log(1 - TRUST * F.col("score"))))
-        per = open_edges.join(confident.select("pattern", "kind", "score"), "pattern").groupBy("value", "kind").agg(chance.alias("trust")).where(F.col("trust") >= MIN_INSTANCE)
+        open_now = open_edges.join(found.select("value"), "value", "left_anti")
+        per = open_now.join(confident.select("pattern", "kind", "score"), "pattern").groupBy("value", "kind").agg(chance.alias("trust")).where(F.col("trust") >= MIN_INSTANCE)
         best = F.max(F.struct("trust", (-F.col("kind")).alias("order"))).alias("best")
-        found = written(per.groupBy("value").agg(best).select((-F.col("best.order")).alias("kind"), "value", F.col("best.trust").alias("trust")))
-        if found.isEmpty():
-            break
-    return found
+        new = written(per.groupBy("value").agg(best).select((-F.col("best.order")).alias("kind"), "value", F.col("best.trust").alias("trust")))
+        if new.isEmpty():
+            return found
+        found = found.union(new)
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, counts of the base kinds, digest of the base spans, all spans, and how many were discovered."""
     t = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(key).alias("k"), F.xxhash64(t).alias("h"), base_spans(t).alias("base"), other_tokens(t).alias("tokens"))
-    apart = lambda c: F.forall("base", lambda b: (c["end"] <= b["start"]) | (c["start"] >= b["end"]))
-    own = written(read.select("k", "h", "base", F.filter("tokens", apart).alias("tokens")))
+    own = written(read.select("k", "h", "base", apart(F.col("tokens"), F.col("base")).alias("tokens")))
 
     spans = own.where(F.size("base") > 0).select(F.explode("base").alias("s"))
     seeds_of = spans.select("s.kind", "s.value")
