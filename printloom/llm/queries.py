@@ -92,19 +92,20 @@ WITH units AS (
     SELECT source, units, pow(CAST(units AS DOUBLE), 0.5) AS pull FROM units
 ), rates AS (
     SELECT source, pull / (SELECT sum(pull) FROM pulls) * (SELECT CAST(sum(units) AS DOUBLE) FROM pulls) / units AS rate FROM pulls
-), split AS (
-    SELECT source, CAST(CASE WHEN rate > 8 THEN floor(rate - 8) + 1 ELSE 0 END AS BIGINT) AS sure, rate - CASE WHEN rate > 8 THEN floor(rate - 8) + 1 ELSE 0 END AS mean FROM rates
 ), chances AS (
-    SELECT source, sure, k, exp(-mean) * pow(mean, k) / gamma(k + 1) AS p FROM split, range(0, 40) t(k)
+    SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
+    FROM (SELECT source, rate, unnest(generate_series(0, CAST(ceil(rate + 10 * sqrt(rate) + 30) AS BIGINT))) AS k FROM rates)
 ), steps AS (
-    SELECT source, sure, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS upto FROM chances
+    SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS upto FROM chances
 ), drawn AS (
-    SELECT d.doc_id, any_value(s.sure) + count(*) FILTER (WHERE s.upto <= u) AS n
+    SELECT d.doc_id, count(*) FILTER (WHERE s.upto <= u) AS n
     FROM (SELECT doc_id, source, CAST(CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents) d
     JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.doc_id
+), copies AS (
+    SELECT doc_id, unnest(generate_series(1, n)) AS k FROM drawn
 )
-SELECT d.doc_id, d.source, d.lang, d.text, d.n_chars, CAST(c.k AS INTEGER) AS mix_copy, md5('17-order:' || d.doc_id || ':' || c.k) AS mix_order
-FROM documents d JOIN drawn n ON d.doc_id = n.doc_id, range(1, 100) c(k) WHERE c.k <= n.n
+SELECT d.doc_id, d.source, d.lang, d.text, d.n_chars, c.k AS mix_copy, md5('17-order:' || d.doc_id || ':' || c.k) AS mix_order
+FROM documents d JOIN copies c ON d.doc_id = c.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -448,9 +448,10 @@ def test_fingerprints_equal_a_plain_version(sample):
 
 def test_poisson_counts_have_their_mean(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"))
-    for rate in (0.3, 2.5, 11.0):
-        n = [r[0] for r in df.select(mixing.poisson_count(F.lit(rate), mixing.uniform(F.lit(1), F.col("doc_id")))).collect()]
-        assert abs(np.mean(n) - rate) < 0.06 * max(1, rate**0.5)
+    for rate in (0.3, 2.5, 11.0, 100.0, 399.0, 401.0, 5000.0):
+        own = df if rate < 50 else df.limit(1500)
+        n = [r[0] for r in own.select(mixing.poisson_count(F.lit(rate), mixing.uniform(F.lit(1), F.col("doc_id")))).collect()]
+        assert abs(np.mean(n) - rate) < 5 * (rate / len(n)) ** 0.5 and abs(np.var(n) / rate - 1) < 0.2
     u = [r[0] for r in df.select(mixing.uniform(F.lit(1), F.col("doc_id"))).collect()]
     import math
 
@@ -466,6 +467,25 @@ def test_poisson_counts_have_their_mean(spark):
     assert [r[0] for r in df.limit(2000).select(mixing.poisson_count(F.lit(2.5), mixing.uniform(F.lit(1), F.col("doc_id")))).collect()] == plain
 
 
+def test_large_rates_are_inverted_as_small_ones_are(spark, monkeypatch):
+    rates = [(x, u) for x in (50.0, 300.0, 390.0) for u in (0.0, 1e-9, 0.01, 0.5, 0.77, 0.999, 1 - 1e-9)]
+    df = spark.createDataFrame(rates, "rate double, u double")
+    plain = [r[0] for r in df.select(mixing.poisson_count(F.col("rate"), F.col("u"))).collect()]
+    monkeypatch.setattr(mixing, "FROM_ZERO", 49.0)
+    monkeypatch.setattr(mixing, "SPREAD", 7)  # 50 - 7 * sqrt(50) is just above 0
+    later = [r[0] for r in df.where("u > 0").select(mixing.poisson_count(F.col("rate"), F.col("u"))).collect()]
+    assert later == [n for n, (_, u) in zip(plain, rates) if u > 0]
+
+
+def test_a_rate_of_ten_million(spark):
+    rows = [(i, "t" * 1000, "en", "big", 1000) for i in range(100)] + [(1000, "x", "en", "small", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix_sources(df, {"small": 1.0}, epochs=100.0, key="doc_id").where("doc_id = 1000")
+    assert abs(got.count() / 100 / 100_001 - 1) < 0.002
+    huge = spark.createDataFrame([(1e7, 0.5)], "rate double, u double")
+    assert abs(huge.select(mixing.poisson_count(F.col("rate"), F.col("u"))).first()[0] / 1e7 - 1) < 1e-6
+
+
 def test_sources_reach_their_weights(spark):
     rows = [(i, "t" * 10, "en", "big" if i % 10 else "small", 10) for i in range(6000)] + [(None, None, None, None, None), (7000, "", "en", None, 0)]
     df = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit("clash") for n in ("mix_copy", "mix_source", "rate", "doc", "n", "order")})
