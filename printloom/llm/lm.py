@@ -17,6 +17,7 @@ an empty one; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from printloom.llm.common import chunks, crc_mod, written
 
@@ -369,6 +371,8 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"]), int(sums["v"])
     top = counts.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
+    last = counts.where(F.col("word") == END).first()  # each text's end token, whether it is hot or not
+    ends = int(last["n"]) if last else 0
     hot = dict(zip(top["word"].cast(pa.binary()).to_pylist(), top["n"].to_pylist()))
     parts, bits, lead = filter_parts(texts, total)
     small = BITS_PER_TOKEN * total <= FILTER_BYTES * 8
@@ -378,7 +382,6 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, maps = shared.value
         filled = Filter(np.frombuffer(maps, np.uint8), bits, lead) if small else None
-        ends = own.get(END.encode(), 0)
         names = ["row", "k", "word", "n_tokens", "n_known", "base", "score", "times"]
         for ids, keys, rows in chunks(batches, "row", "k", "t"):
             split = [words_of(t) for t in rows]
@@ -398,11 +401,12 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
             cold = np.flatnonzero(found == 0)
             if len(cold):
                 of = np.array(ids, np.int64)[np.searchsorted(np.cumsum(sizes), cold, side="right")]
-                m = len(cold)
+                often = Counter(zip(of.tolist(), map(words.__getitem__, cold.tolist())))  # one row for a text's word
+                m = len(often)
                 zeros = pa.array(np.zeros(m, np.int64))
-                yield pa.record_batch([pa.array(of), pa.nulls(m, key_type), pa.array([words[j] for j in cold.tolist()], pa.binary()).cast(pa.string()), zeros, zeros, pa.array(np.zeros(m)), pa.nulls(m, pa.float64()), pa.array(np.ones(m, np.int64))], names=names)
+                yield pa.record_batch([pa.array([r for r, _ in often], pa.int64()), pa.nulls(m, key_type), pa.array([w for _, w in often], pa.binary()).cast(pa.string()), zeros, zeros, pa.array(np.zeros(m)), pa.nulls(m, pa.float64()), pa.array(list(often.values()), pa.int64())], names=names)
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema[key].dataType.simpleString()]
+    key_type = to_arrow_type(docs.schema[key].dataType)
     numbered = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("row", _row_number())
     if not small:
         numbered = written(numbered)  # read twice, with the same numbers

@@ -328,11 +328,12 @@ def test_parts_of_long_texts_count_the_same(monkeypatch):
 # --- language model ----------------------------------------------------------------------------------------------------
 
 
-def test_base_scores_are_exact(spark, sample, monkeypatch):
+@pytest.mark.parametrize("hot", [1, 100])
+def test_base_scores_are_exact(spark, sample, monkeypatch, hot):
     import collections
     import math
 
-    monkeypatch.setattr(lm, "HOT_WORDS", 100)
+    monkeypatch.setattr(lm, "HOT_WORDS", hot)
     texts = [*sample[:120], *ODD]
     rows = lm.score(docs(spark, texts), lm.training_rows()).collect()
     counts = collections.Counter()

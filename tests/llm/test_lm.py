@@ -49,3 +49,18 @@ def test_a_filter_beyond_the_broadcast_bound_grows(spark, monkeypatch):
     got = asked(spark, teach, ask)
     monkeypatch.setattr(lm, "FILTER_BYTES", 1 << 26)
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, asked(spark, teach, ask), strict=True))
+
+
+def test_scores_of_documents_are_near_those_of_exact_counts(spark):
+    """The filter's classes and false answers against a model with the same interpolation and the classes of exact counts."""
+    rows = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    teach, ask = [low(t) for t in rows[::2]], [low(t) for t in rows[1::2]][:40]
+    got, want = asked(spark, teach, ask), plain_scores(teach, ask)
+    assert max(abs(a - b) / abs(b) for a, b in zip(got, want, strict=True)) < 0.1
+
+
+def test_other_keys_and_an_empty_table(spark):
+    df = spark.createDataFrame([(1.5, "a b"), (None, None)], "doc_id double, text string")
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in lm.score(df, F.lit(True)).collect()) == [(0, 1), (1.5, 3)]
+    assert lm.score(df.limit(0), F.lit(True)).count() == 0
