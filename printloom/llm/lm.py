@@ -4,7 +4,8 @@ Training tokens are counted exactly. Word pairs and single words enter one Bloom
 count class q(c) = 1 + floor(log2 c) puts the n-gram in q times, once per class from 1 on. A count is read back by
 probing class 1, 2, ... until one is missing; its estimate is the middle of the class. The filter's size follows the
 training tokens. Up to FILTER_BYTES it is broadcast; a larger one stays a written table of parts, and the distinct
-n-grams of each step of texts are sent to the parts and their classes back. The model interpolates the pair's relative frequency with the smoothed single-word probability.
+n-grams of each step of texts are sent to the parts and their classes back, so no task holds more than a part and a
+step. Within its part an n-gram is known by 40 bits: of PART_NGRAMS, 4 in a million share them. The model interpolates the pair's relative frequency with the smoothed single-word probability.
 
 The base score needs exact counts of every word. The HOT_WORDS most frequent ones are broadcast, all other tokens meet
 their counts in a join by word.
@@ -38,7 +39,7 @@ PART_NGRAMS, LEAST_BITS, MOST_BITS = 1 << 22, 6, 16
 #: Most count classes (counts up to 2 ** CLASSES) and weight of the pair against the single word.
 CLASSES, WEIGHT = 40, 0.6
 #: Tokens of one counting step, and of one step that asks the filter's parts.
-STEP_TOKENS, ASK_TOKENS = 1 << 20, 1 << 19
+STEP_TOKENS, ASK_TOKENS = 1 << 20, 1 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Stands for the start, the end, and marks single words in the filter.
@@ -72,6 +73,23 @@ def single_keys(h: np.ndarray) -> np.ndarray:
     return mixed(h * _A + _SINGLE)
 
 
+def inner(keys: np.ndarray, lead: int) -> np.ndarray:
+    """The 40 bits by which a key is known within its part."""
+    return (keys >> np.uint64(24 - lead)) & np.uint64((1 << 40) - 1)
+
+
+def planes(numbers: np.ndarray, width: int) -> bytes:
+    """Whole numbers as ``width`` planes, of their lowest bytes first: ascending or small ones compress well."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1)[:, :width].T.tobytes()
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, :width] = rows.T
+    return out.view(np.uint64).ravel()
+
+
 def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(keys), return_counts=True)
 
@@ -107,7 +125,7 @@ def leading_bits(tokens: int) -> int:
 
 
 def ngram_parts(texts: DataFrame, lead: int) -> DataFrame:
-    """part, keys, counts: of the n-grams of the column t, packed as 64-bit numbers, combined over a step of tokens."""
+    """part, keys, counts: of the n-grams of the column t, packed as planes, combined over a step of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -116,7 +134,7 @@ def ngram_parts(texts: DataFrame, lead: int) -> DataFrame:
             cuts = np.searchsorted(part, np.arange((1 << lead) + 1))
             own = [i for i in range(1 << lead) if cuts[i] < cuts[i + 1]]
             n = np.minimum(n, (1 << 32) - 1).astype(np.uint32)
-            return pa.record_batch({"part": pa.array(own, pa.int32()), "keys": pa.array([keys[cuts[i] : cuts[i + 1]].tobytes() for i in own], pa.binary()), "counts": pa.array([packed(n[cuts[i] : cuts[i + 1]]) for i in own], pa.binary())})
+            return pa.record_batch({"part": pa.array(own, pa.int32()), "keys": pa.array([planes(inner(keys[cuts[i] : cuts[i + 1]], lead), 5) for i in own], pa.binary()), "counts": pa.array([packed(n[cuts[i] : cuts[i + 1]]) for i in own], pa.binary())})
 
         held, size = [], 0
         for (rows,) in chunks(batches, "t"):
@@ -187,12 +205,13 @@ class Filter:
     """All parts of the filter; counts are read by repeated probes."""
 
     def __init__(self, maps: np.ndarray, bits: int, lead: int):
-        self.maps, self.bits, self.shift = maps, bits, np.uint64(64 - lead)
+        self.maps, self.bits, self.lead = maps, bits, lead
         self.ends = float(self.counts(single_keys(np.array([_END])))[0])
 
     def classes(self, keys: np.ndarray) -> np.ndarray:
         """Count class of each key: how many classes in a row from 1 on are all set."""
-        return probed(keys, (keys >> self.shift).astype(np.int64) * (self.bits // 8), self.maps, self.bits)
+        part = (keys >> np.uint64(64 - self.lead)).astype(np.int64)
+        return probed(inner(keys, self.lead), part * (self.bits // 8), self.maps, self.bits)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Estimated counts: the middle of each class from 2 ** (q - 1) to 2 ** q - 1, 0 for none. Equal keys are probed once."""
@@ -232,7 +251,7 @@ def filter_parts(texts: DataFrame, tokens: int) -> tuple[DataFrame, int, int]:
                     yield close()
                     total, waiting, size = None, [], 0
                 part = p
-                own = np.frombuffer(k, np.uint64)
+                own = from_planes(k, 5)
                 waiting.append((own, unpacked(c, len(own))))
                 size += len(own)
                 if size > 2 * STEP_TOKENS:
@@ -266,20 +285,26 @@ def _summed(total: tuple | None, more: list[tuple]) -> tuple[np.ndarray, np.ndar
 # --- scores ----------------------------------------------------------------------------------------------------------
 
 
-def model_scores(h: np.ndarray, sizes: np.ndarray, counts: Filter, total: int, distinct: int) -> np.ndarray:
+def followed(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts whose words' hashes stand end to end: at each token its hash and the one before it, where texts start, and which tokens are ends."""
+    ends = np.cumsum(sizes + 1) - 1  # where each text's end token is
+    starts = ends - sizes
+    is_end = np.zeros(len(h) + len(sizes), bool)
+    is_end[ends] = True
+    then = np.empty(len(is_end), np.uint64)
+    then[is_end], then[~is_end] = _END, h
+    first = np.concatenate([[_START], then[:-1]])
+    first[starts] = _START
+    return first, then, starts, is_end
+
+
+def model_scores(h: np.ndarray, sizes: np.ndarray, counts: Filter | Answers, total: int, distinct: int) -> np.ndarray:
     """log10 probability of each of many texts: ``h`` has their words' hashes end to end, ``sizes`` how many each has.
 
     At each token, WEIGHT times the pair's relative frequency plus the rest times the smoothed single word. A pair of
     an unseen first word leaves all weight to the single word; an estimate never exceeds its first word's.
     """
-    ends = np.cumsum(sizes + 1) - 1  # where each text's end token is
-    starts = ends - sizes
-    is_end = np.zeros(len(h) + len(sizes), bool)
-    is_end[ends] = True
-    then_hash = np.empty(len(is_end), np.uint64)
-    then_hash[is_end], then_hash[~is_end] = _END, h
-    first_hash = np.concatenate([[_START], then_hash[:-1]])
-    first_hash[starts] = _START
+    first_hash, then_hash, starts, is_end = followed(h, sizes)
     then = np.empty(len(is_end))
     then[is_end], then[~is_end] = counts.ends, counts.counts(single_keys(h))
     first = np.concatenate([[counts.ends], then[:-1]])
@@ -291,76 +316,73 @@ def model_scores(h: np.ndarray, sizes: np.ndarray, counts: Filter, total: int, d
     return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
 
 
-def _text_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def text_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Distinct keys, ascending, that model_scores reads for texts whose words' hashes stand end to end."""
-    cuts = np.cumsum(sizes)[:-1]
-    return np.unique(np.concatenate([single_keys(np.append(h, _END)), *map(pair_keys, np.split(h, cuts))]))
+    first, then, _, _ = followed(h, sizes)
+    return np.unique(np.concatenate([single_keys(np.append(np.unique(h), _END)), np.unique(mixed(first * _A + then))]))
 
 
-def scores_by_parts(numbered: DataFrame, parts: DataFrame, bits: int, lead: int, total: int, distinct: int) -> DataFrame:
-    """row and score of the rows (row, t), by a filter that stays a table of parts.
+def step_fields(ids: list[int], held: list[np.ndarray]) -> list[bytes]:
+    """A step of texts: their row numbers and sizes, their distinct words' hashes (often used ones first), and each word's place among these."""
+    own, at, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    place = np.empty(len(own), np.uint32)
+    place[order] = np.arange(len(own), dtype=np.uint32)
+    return [np.array(ids, np.int64).tobytes(), planes(np.array([len(x) for x in held], np.int64), 8), own[order].tobytes(), planes(place[at], 4)]
 
-    Texts are hashed in steps; a step's distinct keys go to their parts, where each part's map comes first, and the
-    classes, a byte each, come back to the step.
-    """
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            return pa.record_batch({"step": pa.array([rows[0]], pa.int64()), "part": pa.array([-1], pa.int32()), "data": pa.array([np.concatenate(held).tobytes()], pa.binary()), "rows": pa.array([np.array(rows, np.int64).tobytes()], pa.binary()), "sizes": pa.array([np.array(list(map(len, held)), np.int64).tobytes()], pa.binary())})
-
-        rows, held, size = [], [], 0
-        for ids, texts in chunks(batches, "row", "t"):
-            for i, t in zip(ids, texts):
-                rows.append(i)
-                held.append(hashes(words_of(t)))
-                size += len(held[-1]) + 1
-                if size >= ASK_TOKENS:
-                    yield flush()
-                    rows, held, size = [], [], 0
-        if rows:
-            yield flush()
+def step_words(sizes: bytes, own: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes of a step's texts end to end, and the texts' sizes."""
+    return np.frombuffer(own, np.uint64)[from_planes(at, 4).astype(np.int64)], from_planes(sizes, 8).astype(np.int64)
+
+
+def scores_by_parts(steps: DataFrame, parts: DataFrame, bits: int, lead: int, total: int, distinct: int) -> DataFrame:
+    """row and score of the texts of steps (step, rows, sizes, own, at), by a filter that stays a table of parts.
+
+    A step's distinct keys go to their parts, where each part's map comes first, and the classes, a byte each, come
+    back to the step.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for steps, data, sizes in chunks(batches, "step", "data", "sizes", rows=1):
-            keys = _text_keys(np.frombuffer(data[0], np.uint64), np.frombuffer(sizes[0], np.int64))
+        for steps_, sizes, own, at in chunks(batches, "step", "sizes", "own", "at", rows=1):
+            keys = text_keys(*step_words(sizes[0], own[0], at[0]))
             part = (keys >> np.uint64(64 - lead)).astype(np.int64)
-            own, first = np.unique(part, return_index=True)
-            cut = np.split(keys, first[1:])
-            yield pa.record_batch({"part": pa.array(own, pa.int32()), "step": pa.array(np.full(len(own), steps[0]), pa.int64()), "data": pa.array([k.tobytes() for k in cut], pa.binary())})
+            asked, first = np.unique(part, return_index=True)
+            cut = np.split(inner(keys, lead), first[1:])
+            yield pa.record_batch({"part": pa.array(asked, pa.int32()), "step": pa.array(np.full(len(asked), steps_[0]), pa.int64()), "data": pa.array([planes(k, 5) for k in cut], pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, filled = None, None
-        for part, steps, data in ((p, s, d) for b in batches for ps, ss, ds in chunks([b], "part", "step", "data") for p, s, d in zip(ps, ss, ds)):
-            if steps < 0:
-                at, filled = part, np.frombuffer(data, np.uint8)
-                continue
-            keys = np.frombuffer(data, np.uint64)
-            found = probed(keys, np.zeros(len(keys), np.int64), filled, bits) if at == part else np.zeros(len(keys), np.int64)
-            yield pa.record_batch({"step": pa.array([steps], pa.int64()), "part": pa.array([part], pa.int32()), "data": pa.array([found.astype(np.uint8).tobytes()], pa.binary()), "rows": pa.nulls(1, pa.binary()), "sizes": pa.nulls(1, pa.binary())})
+        for ps, ss, ds in chunks(batches, "part", "step", "data", rows=16):
+            for part, step, data in zip(ps, ss, ds):
+                if step < 0:
+                    at, filled = part, np.frombuffer(data, np.uint8)
+                    continue
+                keys = from_planes(data, 5)
+                found = probed(keys, np.zeros(len(keys), np.int64), filled, bits) if at == part else np.zeros(len(keys), np.int64)
+                yield pa.record_batch({"step": pa.array([step], pa.int64()), "part": pa.array([part], pa.int32()), "at": pa.array([found.astype(np.uint8).tobytes()], pa.binary()), **{n: pa.nulls(1, pa.binary()) for n in ("rows", "sizes", "own")}})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> pa.RecordBatch:
-            h, ids, sizes = (np.frombuffer(x, kind) for x, kind in zip(own, (np.uint64, np.int64, np.int64)))
-            answers = Answers(_text_keys(h, sizes), np.frombuffer(b"".join(got), np.uint8))
-            return pa.record_batch({"row": pa.array(ids), "score": pa.array(model_scores(h, sizes, answers, total, distinct))})
-
-        own, got = None, []
-        for b in batches:
-            for part, *texts in ((p[0], d[0], r[0], s[0]) for p, d, r, s in chunks([b], "part", "data", "rows", "sizes", rows=1)):
-                if part < 0:
-                    if own:
-                        yield close()
-                    own, got = texts, []
-                else:
-                    got.append(texts[0])
-        if own:
+            h, sizes = step_words(*texts[1:])
+            answers = Answers(text_keys(h, sizes), np.frombuffer(b"".join(got), np.uint8))
+            return pa.record_batch({"row": pa.array(np.frombuffer(texts[0], np.int64)), "score": pa.array(model_scores(h, sizes, answers, total, distinct))})
+
+        texts, got = None, []
+        for part, at, *more in chunks(batches, "part", "at", "rows", "sizes", "own", rows=1):
+            if part[0] < 0:
+                if texts:
+                    yield close()
+                texts, got = (more[0][0], more[1][0], more[2][0], at[0]), []
+            else:
+                got.append(at[0])
+        if texts:
             yield close()
 
-    shape = "step long, part int, data binary, rows binary, sizes binary"
-    steps = written(numbered.select("row", "t").mapInArrow(step, shape))
     asked = parts.select("part", F.lit(-1).cast("long").alias("step"), F.col("map").alias("data")).union(steps.mapInArrow(ask, "part int, step long, data binary"))
-    answers = asked.repartition(1 << lead, "part").sortWithinPartitions("part", "step").mapInArrow(answer, shape)
-    return steps.union(answers).repartition("step").sortWithinPartitions("step", "part").mapInArrow(finish, "row long, score double")
+    answers = asked.repartition(1 << lead, "part").sortWithinPartitions("part", "step").mapInArrow(answer, "step long, part int, at binary, rows binary, sizes binary, own binary")
+    own = steps.select("step", F.lit(-1).alias("part"), "at", "rows", "sizes", "own")
+    return own.union(answers).repartition("step").sortWithinPartitions("step", "part").mapInArrow(finish, "row long, score double")
 
 
 def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -379,14 +401,22 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     shared = spark.sparkContext.broadcast((hot, gathered(parts, bits, lead) if small else None))
     below = np.log10(total + 0.1 * (distinct + 1))
 
+    key_type = to_arrow_type(docs.schema[key].dataType)
+    shape = pa.schema([("row", pa.int64()), ("k", key_type), ("word", pa.string()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("times", pa.int64()), *((n, pa.binary()) for n in ("rows", "sizes", "own", "at"))])
+
+    def pieces_of(n: int, **columns) -> pa.RecordBatch:
+        """Rows of ``shape``; columns that are not given are null."""
+        return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in shape], schema=shape)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, one for each word of a text that is not hot, and one for each step where the filter is no broadcast."""
         own, maps = shared.value
         filled = Filter(np.frombuffer(maps, np.uint8), bits, lead) if small else None
-        names = ["row", "k", "word", "n_tokens", "n_known", "base", "score", "times"]
+        step_ids, held, waiting = [], [], 0
         for ids, keys, rows in chunks(batches, "row", "k", "t"):
             split = [words_of(t) for t in rows]
             words = [w for own_words in split for w in own_words]
-            sizes = np.array([len(w) for w in split], np.int64)
+            sizes, h = np.array([len(w) for w in split], np.int64), hashes(words)
             found = np.fromiter((own.get(w, 0) for w in words), np.int64, len(words))
             logs = np.append(np.where(found > 0, np.log10(found + 0.1) - below, 0.0), 0.0)  # reduceat needs a value after the last
             starts = np.cumsum(sizes) - sizes
@@ -394,44 +424,48 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
             known = np.where(sizes > 0, np.add.reduceat(np.append(found > 0, False).astype(np.int64), starts), 0)
             if ends or not distinct:
                 base = base + (np.log10(ends + 0.1) - below)
-            n = len(rows)
-            models = model_scores(hashes(words), sizes, filled, total, distinct) if small else pa.nulls(n, pa.float64())
-            none = pa.nulls(n, pa.int64())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, key_type), pa.array([f" {i}" for i in ids]), pa.array(sizes + 1), pa.array(known + (ends > 0)), pa.array(base), models if isinstance(models, pa.Array) else pa.array(models), none], names=names)
+            models = {"score": pa.array(model_scores(h, sizes, filled, total, distinct))} if small else {}
+            yield pieces_of(len(rows), row=pa.array(ids, pa.int64()), k=pa.array(keys, key_type), word=pa.array([f" {i}" for i in ids]), n_tokens=pa.array(sizes + 1), n_known=pa.array(known + (ends > 0)), base=pa.array(base), **models)
             cold = np.flatnonzero(found == 0)
             if len(cold):
                 of = np.array(ids, np.int64)[np.searchsorted(np.cumsum(sizes), cold, side="right")]
                 often = Counter(zip(of.tolist(), map(words.__getitem__, cold.tolist())))  # one row for a text's word
-                m = len(often)
-                zeros = pa.array(np.zeros(m, np.int64))
-                yield pa.record_batch([pa.array([r for r, _ in often], pa.int64()), pa.nulls(m, key_type), pa.array([w for _, w in often], pa.binary()).cast(pa.string()), zeros, zeros, pa.array(np.zeros(m)), pa.nulls(m, pa.float64()), pa.array(list(often.values()), pa.int64())], names=names)
-
-    key_type = to_arrow_type(docs.schema[key].dataType)
-    numbered = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("row", _row_number())
-    if not small:
-        numbered = written(numbered)  # read twice, with the same numbers
-    pieces = numbered.mapInArrow(run, f"row long, k {docs.schema[key].dataType.simpleString()}, word string, n_tokens long, n_known long, base double, score double, times long")
-    if not small:
-        of_parts = scores_by_parts(numbered, parts, bits, lead, total, distinct)
-        zero = F.lit(0).cast("long")
-        pieces = pieces.union(of_parts.select("row", F.lit(None).cast(docs.schema[key].dataType).alias("k"), F.concat(F.lit(" "), F.col("row").cast("string")), zero, zero, F.lit(0.0), "score", F.lit(None).cast("long")))
+                yield pieces_of(len(often), row=pa.array([r for r, _ in often], pa.int64()), word=pa.array([w for _, w in often], pa.binary()).cast(pa.string()), times=pa.array(list(often.values()), pa.int64()))
+            if not small:
+                step_ids += ids
+                held += np.split(h, np.cumsum(sizes)[:-1])
+                waiting += len(h) + len(ids)
+                if waiting >= ASK_TOKENS:
+                    yield pieces_of(1, row=pa.array(step_ids[:1], pa.int64()), **{n: pa.array([x], pa.binary()) for n, x in zip(("rows", "sizes", "own", "at"), step_fields(step_ids, held))})
+                    step_ids, held, waiting = [], [], 0
+        if held:
+            yield pieces_of(1, row=pa.array(step_ids[:1], pa.int64()), **{n: pa.array([x], pa.binary()) for n, x in zip(("rows", "sizes", "own", "at"), step_fields(step_ids, held))})
+
+    kind = docs.schema[key].dataType.simpleString()
+    numbered = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("row", F.monotonically_increasing_id())
+    pieces = numbered.mapInArrow(run, f"row long, k {kind}, word string, n_tokens long, n_known long, base double, score double, times long, rows binary, sizes binary, own binary, at binary")
+    named = ("row", "k", "word", "n_tokens", "n_known", "base", "score", "times")
+    if small:
+        pieces = pieces.select(*named)
+    else:
+        scanned = written(pieces)  # read three times, with the same row numbers
+        steps = scanned.where("own IS NOT NULL").select(F.col("row").alias("step"), "rows", "sizes", "own", "at")
+        of_parts = scores_by_parts(steps, parts, bits, lead, total, distinct)
+        none = {n: F.lit(None).cast(t) for n, t in (("k", kind), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("times", "long"))}
+        scored = of_parts.withColumns(none).withColumn("word", F.concat(F.lit(" "), F.col("row").cast("string")))
+        pieces = scanned.where("own IS NULL").select(*named).union(scored.select(*named))
     c = F.coalesce(F.col("n"), F.lit(0))
     cold = F.col("times") * (F.log10(c + 0.1) - F.lit(float(below)))
     met = pieces.join(counts, "word", "left")
     one = met.groupBy("row").agg(
         F.max("k").alias(key),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("times").isNotNull() & F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("times").isNotNull(), cold).otherwise(0.0)).alias("base_score"),
+        F.sum(F.coalesce("n_known", F.when(F.col("n").isNotNull(), F.col("times")))).alias("n_known"),
+        F.sum(F.coalesce("base", cold)).alias("base_score"),
         F.max("score").alias("score"),
     )
     return one.select(key, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _row_number() -> Column:
-    """A number of its own for each row of the scan."""
-    return F.monotonically_increasing_id()
-
-
 def training_rows(key: str = "doc_id") -> Column:
     return F.coalesce(crc_mod(key, 10) != 0, F.lit(False))

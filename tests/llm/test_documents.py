@@ -357,7 +357,7 @@ def test_the_filter_holds_classes_of_counts():
     keys = np.sort(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
     n = rng.integers(1, 400, 2000)
     bits, lead = 1 << 14, 6
-    maps = np.concatenate([lm.part_bits(keys[keys >> np.uint64(58) == p], n[keys >> np.uint64(58) == p], bits) for p in range(64)])
+    maps = np.concatenate([lm.part_bits(lm.inner(keys[keys >> np.uint64(58) == p], 6), n[keys >> np.uint64(58) == p], bits) for p in range(64)])
     filled = lm.Filter(maps, bits, lead)
     q = filled.classes(keys)
     want = 1 + np.floor(np.log2(n)).astype(int)
