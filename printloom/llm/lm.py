@@ -33,7 +33,7 @@ from printloom.llm.common import chunks, crc_mod, written
 #: Words whose exact counts are broadcast: some 30 bytes each.
 HOT_WORDS = 200_000
 #: Largest filter that is broadcast, bits for each training token, probes for each class.
-FILTER_BYTES, BITS_PER_TOKEN, PROBES = 1 << 26, 8, 4
+FILTER_BYTES, BITS_PER_TOKEN, PROBES = 1 << 27, 8, 4
 #: The filter is made in parts by the keys' leading bits: n-grams of a part at most (as a mean), least and most such bits.
 PART_NGRAMS, LEAST_BITS, MOST_BITS = 1 << 22, 6, 16
 #: Most count classes (counts up to 2 ** CLASSES) and weight of the pair against the single word.

@@ -47,7 +47,7 @@ def test_a_filter_beyond_the_broadcast_bound_grows(spark, monkeypatch):
     teach = [*TEACH, *(f"x{i} y{i} x{i} z{i}" for i in range(4000))]
     ask = [*ASK, *(f"x{i} y{i}" for i in range(50)), *(f"never{i} met{i}" for i in range(50))]
     got = asked(spark, teach, ask)
-    monkeypatch.setattr(lm, "FILTER_BYTES", 1 << 26)
+    monkeypatch.setattr(lm, "FILTER_BYTES", 1 << 27)
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, asked(spark, teach, ask), strict=True))
 
 
