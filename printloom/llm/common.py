@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -27,11 +28,13 @@ def crc_mod(key: str | Column, modulus: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint directory.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Only where the session names none and runs on one machine (tests) a temporary one is set; a cluster must name one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="printloom-"))
     return sc.getCheckpointDir()
 

@@ -2,10 +2,10 @@
 
 Characters (lower case) make n-grams of one to three, hashed into bins. Document frequencies of the bins and counts of
 the languages come from all training documents. Weights are trained by follow-the-regularised-leader with L1 and L2
-penalties on a bounded, hash-chosen sample of SAMPLE_PER_LANGUAGE documents a language, a fifth of which is kept apart
-to fit the temperature by which scores are calibrated.
+penalties on a bounded, hash-chosen sample of SAMPLE_PER_LANGUAGE documents a language (rows that repeat an id and its
+text count once in it), a fifth of which is kept apart to fit the temperature by which scores are calibrated.
 
-Cases: null texts and texts without a letter get ``und`` with score 1; rows with a null language teach nothing; a
+Cases: null texts and texts without a letter (a character of one of Unicode's letter categories) get ``und`` with score 1; rows with a null language teach nothing; a
 training set without languages gives ``und`` with score 0 for all; whole texts are read, in parts; ties go to the
 language that sorts first; repeated rows give repeated results; an empty table gives an empty one; other columns are
 not read.
@@ -14,34 +14,35 @@ not read.
 from __future__ import annotations
 
 import math
-import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from printloom.llm.common import chunks, crc_mod
+from printloom.llm.common import CHUNK_ROWS, chunks, crc_mod, written
 
 #: Bins of hashed n-grams; longest n-gram; characters hashed at once.
 BINS, ORDER, PART = 1 << 14, 3, 1 << 18
-#: The bound of the labelled sample, and the most languages that a model may tell apart.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 600, 200
+#: The bounds of the labelled sample: documents of a language, languages (the most frequent labels teach, others do not),
+#: and bytes of all features, beyond which the documents of greatest hash are left out.
+SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, SAMPLE_BYTES = 600, 1000, 1 << 26
 #: FTRL: learning rate, smoothing of it, L1, L2, passes.
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.02, 0.01, 4
 #: Below this score a document is rejected.
 REJECT_BELOW = 0.5
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def bin_counts(text: str) -> np.ndarray:
@@ -139,9 +140,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learn from the rows for which ``training`` holds, from text and language alone."""
     labelled = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    sizes = {r["l"]: r["count"] for r in labelled.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["l"]: r["count"] for r in labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(BINS), np.zeros((BINS, 0)), np.zeros(0))
@@ -167,9 +166,14 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
             yield pa.record_batch({"h": pa.array(keys, pa.int64()), "l": pa.array(labels, pa.string()), "at": pa.array([a.astype(np.int32).tobytes() for a, _ in own], pa.binary()), "x": pa.array([x.astype(np.float32).tobytes() for _, x in own], pa.binary())})
 
     chance = F.element_at(F.create_map(*[F.lit(v) for name in languages for v in (name, min(1.0, sample / sizes[name]))]), F.col("l"))
-    hashed = labelled.withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit(11)))
-    picked = hashed.where(F.pmod("h", F.lit(1 << 30)) < chance * (1 << 30)).select("h", "t", "l")
-    rows = sorted(picked.mapInArrow(counted, "h long, l string, at binary, x binary").collect(), key=lambda r: (r["h"], r["l"], r["at"]))
+    hashed = labelled.withColumn("h", F.xxhash64(F.col("k").cast("string"), "t", F.lit(11)))
+    picked = hashed.where(F.pmod("h", F.lit(1 << 30)) < chance * (1 << 30)).select("h", "t", "l").dropDuplicates(["h", "l"])
+    vectors = written(picked.mapInArrow(counted, "h long, l string, at binary, x binary"))
+    weighed = sorted((r["h"], r["size"]) for r in vectors.select("h", (2 * F.length("at")).alias("size")).collect())  # some 2 * SAMPLE_PER_LANGUAGE * MAX_LANGUAGES at most
+    total_bytes = list(accumulate(size for _, size in weighed))
+    fits = bisect_right(total_bytes, SAMPLE_BYTES)
+    kept = vectors if fits == len(weighed) else vectors.where(F.col("h") < weighed[fits][0])
+    rows = sorted(kept.collect(), key=lambda r: (r["h"], r["l"], r["at"]))
     number = {name: i for i, name in enumerate(languages)}
     examples = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(np.float64), number[r["l"]]) for r in rows]
     apart = examples[::5] if len(examples) >= 10 else []
@@ -203,11 +207,9 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            kept = []
-            for t in texts:
-                name, score = shared.value.predict(t.as_py())
-                kept.append(name != UNKNOWN and score >= below)
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                found = [shared.value.predict(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                yield part.filter(pa.array([name != UNKNOWN and score >= below for name, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

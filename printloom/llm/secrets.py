@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from printloom.llm.common import chunks
+from printloom.llm.common import CHUNK_ROWS, chunks
 
 #: Base kinds, in the order that ties of start follow.
 BASE_KINDS = ("assign", "access", "hex")
@@ -120,7 +120,11 @@ def find_secrets(text: str | None) -> list[tuple[int, int, int]]:
         spans += [(m.start(), KINDS.index("hex"), m.end()) for m in _HEX.finditer(raw)]
     spans.sort()
     if spans and len(plain) != len(text):  # byte offsets become code points
-        spans = [(len(raw[:a].decode()), k, len(raw[:b].decode())) for a, k, b in spans]
+        place, at, n = {}, 0, 0
+        for p in sorted({p for a, _, b in spans for p in (a, b)}):
+            n += len(raw[at:p].decode())
+            place[p], at = n, p
+        spans = [(place[a], k, place[b]) for a, k, b in spans]
     return spans
 
 
@@ -166,7 +170,9 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index(text)
-            column = pa.array([redact(t) for t in batch.column(i).to_pylist()], batch.schema.field(i).type)
-            yield pa.record_batch([column if k == i else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                column = pa.array([redact(t) for t in part.column(i).to_pylist()], part.schema.field(i).type)
+                yield pa.record_batch([column if k == i else c for k, c in enumerate(part.columns)], schema=part.schema)
 
     return docs.mapInArrow(run, docs.schema).select(*names)

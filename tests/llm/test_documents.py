@@ -214,6 +214,12 @@ def test_secret_base_spans(spark, sample):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
 
 
+def test_many_spans_behind_other_letters(spark):
+    t = "é token=abcdef12 " * 3000
+    assert secrets.find_secrets(t) == [x for i in range(3000) for x in [(17 * i + 2, 0, 17 * i + 16)]]
+    assert secrets.scan_secrets(docs(spark, ODD).limit(0)).count() == 0
+
+
 def test_checksums_decide():
     good = token("ghp", "Ab1" * 10)
     assert [secrets.KINDS[k] for _, k, _ in secrets.find_secrets(f"é {good} x")] == ["github"]
@@ -362,6 +368,63 @@ def test_languages_of_documents_kept_apart(spark):
     assert kept.count() >= 0.99 * df.count() and kept.where("doc_id >= 1000000").count() == 0
 
 
+def test_signs_of_numbers_are_no_letters():
+    assert not any(langid.has_letter(t) for t in (None, "", "½", "²", "①", "Ⅷ", "12_", "٣")) and all(map(langid.has_letter, ("a", "1ß", "中", "ª")))
+
+
+def test_many_languages_and_repeated_rows_keep_the_sample_bounded(spark, monkeypatch):
+    rows = [(i, f"word{i % 7} other text", f"l{i % 30}", "s", 1) for i in range(300)] + [(1000, "the same text", "l1", "s", 1)] * 200
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 20)
+    model = langid.fit(df, F.lit(True))
+    assert len(model.languages) == 20 and "l1" in model.languages
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 2000)
+    assert langid.fit(df, F.lit(True)).languages == model.languages
+    assert langid.identify(df.limit(0), model).count() == 0 and langid.keep_identified(df.limit(0)).count() == 0
+
+
+def plain_ftrl(examples, classes):
+    """One weight at a time, by the published formulas."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(i, k):
+        if abs(z.get((i, k), 0.0)) <= langid.L1:
+            return 0.0
+        v = z[i, k]
+        return -(v - math.copysign(langid.L1, v)) / ((langid.BETA + math.sqrt(n[i, k])) / langid.ALPHA + langid.L2)
+
+    for _ in range(langid.PASSES):
+        for at, x, label in examples:
+            own = [*zip(at.tolist(), x.tolist()), (langid.BINS, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in own for k in range(classes)}
+            logits = [sum(v * w[i, k] for i, v in own) for k in range(classes)]
+            top = max(logits)
+            total = sum(math.exp(v - top) for v in logits)
+            for k in range(classes):
+                error = math.exp(logits[k] - top) / total - (k == label)
+                for i, v in own:
+                    g, old = error * v, n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / langid.ALPHA * w[i, k]
+                    n[i, k] = old + g * g
+    return weight
+
+
+def test_ftrl_equals_a_plain_version():
+    rng = np.random.default_rng(3)
+    examples = []
+    for _ in range(60):
+        label = int(rng.integers(3))
+        at = np.unique(rng.integers(label * 5, label * 5 + 12, 6))
+        x = rng.random(len(at))
+        examples.append((at, x / np.linalg.norm(x), label))
+    weights, bias = langid.train_ftrl(examples, 3)
+    plain = plain_ftrl(examples, 3)
+    assert all(abs(weights[i, k] - plain(i, k)) < 1e-9 for i in range(25) for k in range(3))
+    assert all(abs(bias[k] - plain(langid.BINS, k)) < 1e-9 for k in range(3))
+
+
 def test_nothing_to_learn_from(spark):
     model = langid.fit(docs(spark, ODD).withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert model.predict("words") == ("und", 0.0)
