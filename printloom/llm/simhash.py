@@ -442,7 +442,8 @@ def verified_links(per: DataFrame, docs: DataFrame, key: str, text: str, bits: i
     ranked = written(tied.join(degrees, "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
     lead = F.max(F.struct("degree", "node"))["node"].alias("leader")
     sizes = ranked.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total"), lead).where("n > 1")
-    members = joined_hot(ranked.select("group", "node", "size", "two", "first"), written(sizes), "group", ranked.count())
+    texts = ranked.count()
+    members = joined_hot(ranked.select("group", "node", "size", "two", "first"), written(sizes), "group", texts)
     sets = sets_of(docs, members.select(F.col("first.key").alias("key"), F.col("first.hash").alias("hash"), "node"), key, text)
     whole = written(members.select("group", "node", "size", "two", "n", "total", "leader").join(sets, "node"))
     small = (F.col("total") <= BLOCK_SHINGLES) & (F.col("n") <= BLOCK_TEXTS)
@@ -452,10 +453,10 @@ def verified_links(per: DataFrame, docs: DataFrame, key: str, text: str, bits: i
 
     # a large group: first each text against the one with most links, then what is left against all, in blocks
     large = whole.where(~small)
-    heads = large.where("node = leader").select("group", F.col("set").alias("head"))
+    heads = large.where("node = leader").select("group", "n", F.col("set").alias("head"))
     both = F.size(F.array_intersect("set", "head"))
     is_near = both * NEAR[1] >= (F.size("set") + F.size("head") - both) * NEAR[0]
-    led = written(large.join(heads, "group").withColumn("led", is_near).drop("head"))
+    led = written(joined_hot(large.drop("n"), heads, "group", texts).withColumn("led", is_near).drop("head"))
     rest = written(led.where("NOT led"))
     blocks = lambda by: F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).cast("int").alias(by)
     counts = rest.groupBy("group").agg(blocks("rest_blocks")).join(led.where("led").groupBy("group").agg(blocks("led_blocks")), "group")
