@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from printloom.functions.text import lead_identifier, text_or_empty, tokens
 from printloom.functions.typography import fixed_width, text_width, wrap_chars
 from printloom.layout import AnchorSpec, Column, PageSpec, TableSpec
+from printloom.sources.references import with_positions
 
 #: Kinds of defects and how many of each a plan has by default.
 DEFECTS = {"split_word": 3, "swallow_space": 3, "double_space": 3, "hyphen_wrap": 2, "interleave": 2, "overflow": 2, "placeholder": 2}
@@ -67,13 +68,6 @@ def spec_for(layout: ExportLayout, anchor_column: int = 0, max_digits: int = 9)
     return TableSpec(columns, layout.right_edge, AnchorSpec(anchor_column, max_x, max_digits=max_digits, spill_column=None), page)
 
 
-def index_percentile(values: Expr, share: float) -> Expr:
-    """Aggregate: the value at index floor(n * share) of the sorted values, the last at most."""
-    all_of = F.array_sort(F.collect_list(values))
-    n = F.size(all_of)
-    return F.when(n > 0, F.get(all_of, F.least(F.floor(n * share).cast("int"), n - 1)))
-
-
 def plan_widths(df: DataFrame, names: list[str], share: float = 0.95, size: float = 7.5, measure: Callable[[Expr], Expr] | None = None) -> DataFrame:
     """(name, width, kind) of columns: the width that holds this share of the cells, and `en` where a value has a space or none is filled."""
     measure = measure or (lambda x: text_width(x, size))
@@ -87,8 +81,15 @@ def plan_widths(df: DataFrame, names: list[str], share: float = 0.95, size: floa
     return placed.groupBy("name").agg(held, F.when(F.max("spaced") | ~F.max("filled"), "en").otherwise("code").alias("kind"))
 
 
-def numbered(df: DataFrame, doc: Expr, *order: str) -> DataFrame:
-    """Adds doc_id and rn, the place (from 0) of a row in its document."""
+def numbered(df: DataFrame, doc: Expr | str, *order: str) -> DataFrame:
+    """Adds doc_id and rn, the place (from 0) of a row in its document.
+
+    A text names one document for the whole table: its rows are placed by ranges of the first key, so they never meet in
+    one task. Documents given by an expression are sorted one by one.
+    """
+    if isinstance(doc, str) and len(order) == 1:
+        return with_positions(df, order[0], "rn").withColumn("doc_id", F.lit(doc)).withColumn("rn", F.col("rn").cast("int"))
+    doc = F.lit(doc) if isinstance(doc, str) else doc
     return df.withColumn("doc_id", doc.cast("string")).withColumn("rn", (F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1).cast("int"))
 
 
@@ -151,14 +152,14 @@ def printed_lines(v: Expr, kind: Expr, chars: int) -> Expr:
     first = F.get(words, F.lit(0))
     rest = F.array_join(F.slice(words, 2, F.size(words)), " ")
     plain = wrap_chars(v, chars)
-    cut = lambda n: F.array(F.substring(first, 1, n), F.concat(F.substring(first, n + 1, 1000), F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise("")))
+    cut = lambda n: F.array(F.substring(first, 1, n), F.concat(F.substring(first, F.lit(n + 1), F.length(first)), F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise("")))
     swallowed = F.array(F.substring(v, F.lit(1), F.length(first) - 1), F.concat(F.substring(first, -1, 1), rest))
     hyphen = F.instr(v, "-")
     return (
         F.when(kind == "split_word", cut(4))
         .when(kind == "swallow_space", swallowed)
         .when(kind == "double_space", F.array(F.concat_ws("  ", first, rest)))
-        .when(kind == "hyphen_wrap", F.array(F.substring(v, F.lit(1), hyphen), F.substring(v, hyphen + 1, F.lit(1000))))
+        .when(kind == "hyphen_wrap", F.array(F.substring(v, F.lit(1), hyphen), F.substring(v, hyphen + 1, F.length(v))))
         .when(kind == "interleave", F.array(first, rest))
         .when(kind == "overflow", F.array(v))
         .when(kind == "placeholder", F.array(F.lit("####")))
@@ -233,4 +234,4 @@ def representable(values: DataFrame) -> DataFrame:
     return values.where(F.forall("values", lambda v: ~v.rlike(r"[^\x{0}-\x{ff}]")))
 
 
-__all__ = ["DEFECTS", "ExportLayout", "PrintColumn", "applies", "as_cells", "fixed_width", "furniture", "ground_truth", "index_percentile", "numbered", "plan_defects", "plan_widths", "render", "representable", "ruled", "spec_for"]
+__all__ = ["DEFECTS", "ExportLayout", "PrintColumn", "applies", "as_cells", "fixed_width", "furniture", "ground_truth", "numbered", "plan_defects", "plan_widths", "render", "representable", "ruled", "spec_for"]

@@ -11,16 +11,16 @@ from printloom.layout import TableSpec
 from printloom.operators import compare, conserve
 from printloom.operators.geometry import cells, extract, row_values
 from printloom.operators.repair import Repaired, repair
-from printloom.operators.typeset import ExportLayout, as_cells, ground_truth, numbered, render, spec_for
+from printloom.operators.typeset import ExportLayout, as_cells, numbered, render, spec_for
 from printloom.plans.stages import stored
 
 
-def printed(df: DataFrame, doc: Column, order: str, names: list[str], layout: ExportLayout) -> DataFrame:
+def printed(df: DataFrame, doc: Column | str, order: str, names: list[str], layout: ExportLayout) -> DataFrame:
     """(doc_id, rn, values) of a table as the typesetter takes it: a running number, then the named columns."""
     return as_cells(numbered(df, doc, order), layout, names)
 
 
-def round_trip(df: DataFrame, doc: Column, order: str, names: list[str], layout: ExportLayout, pages: list[int] | None = None) -> DataFrame:
+def round_trip(df: DataFrame, doc: Column | str, order: str, names: list[str], layout: ExportLayout, pages: list[int] | None = None) -> DataFrame:
     """The table as recovered from its printed pages: doc_id, row_no and all columns of the layout as text."""
     glyphs = render(printed(df, doc, order, names, layout), layout)
     return extract(glyphs, spec_for(layout), pages).table()
@@ -61,14 +61,18 @@ class Verified:
 
 
 def recover(glyphs: DataFrame, spec: TableSpec, targets: DataFrame | None = None, dictionary: DataFrame | None = None, pages: list[int] | None = None) -> Verified:
-    """Extract, repair, compare and prove. A reference with another number of rows than a document is not used."""
+    """Extract, repair, compare and prove. Where a document has another number of rows than its reference, the reference is not used for it.
+
+    ``matched`` says whether all documents used theirs.
+    """
     x = extract(glyphs, spec, pages)
     rows = stored(x.rows)
     matched = targets is not None
     if targets is not None:
         sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(targets.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id", "full_outer")
-        matched = sizes.where("NOT (n <=> m)").isEmpty()
-        targets = targets if matched else None
+        apart = stored(sizes.where("NOT (n <=> m)").select("doc_id"))
+        matched = apart.isEmpty()
+        targets = targets if matched else targets.join(apart, "doc_id", "left_anti")
     fixed = repair(rows, spec, targets, dictionary)
     after = cells(fixed.rows, spec)
     evidence = conserve.page_counts(x.chars, spec)
@@ -79,7 +83,3 @@ def recover(glyphs: DataFrame, spec: TableSpec, targets: DataFrame | None = None
     else:
         diffs = compare.classify(compare.compare(after, compare.targets_long(targets)))
     return Verified(fixed.rows, spec, fixed, stored(diffs), stored(problems), stored(conserve.whole(evidence, after, spec)), matched)
-
-
-def truth(values: DataFrame) -> DataFrame:
-    return ground_truth(values)

@@ -15,7 +15,7 @@ from printloom.operators.typeset import ExportLayout, PrintColumn
 from printloom.plans import catalogue
 from printloom.plans.recovery import printed, recover, round_trip
 from printloom.plans.stages import shared_folder, stored
-from printloom.sources import references, writers
+from printloom.sources import layouts, references, writers
 from printloom.streaming import pages as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,7 +310,7 @@ _PART_LINES = "CASE WHEN length(p_name) > 8 THEN string_split(p_name, ' ') ELSE
 
 
 def _part_values(spark, sf_dir):
-    return printed(table(spark, sf_dir, "part"), F.lit("part"), "p_partkey", PART_NAMES, PART)
+    return printed(table(spark, sf_dir, "part"), "part", "p_partkey", PART_NAMES, PART)
 
 
 def _part(spark, sf_dir):
@@ -355,7 +355,7 @@ _SUPPLIER = ExportLayout((PrintColumn("no", "code", 8), PrintColumn("name", "cjk
 
 def _supplier(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumn("name", F.when(F.col("s_suppkey") % 10 == 3, F.concat(F.lit("山地"), F.lit("AB"), F.col("s_suppkey") % 7)).otherwise("山")).withColumn("free", F.when(F.col("s_suppkey") % 10 == 3, "").otherwise("x"))
-    values = printed(s, F.lit("supplier"), "s_suppkey", ["name", "free", "s_suppkey"], _SUPPLIER)
+    values = printed(s, "supplier", "s_suppkey", ["name", "free", "s_suppkey"], _SUPPLIER)
     bad = values.where(F.get("values", F.lit(2)) == "").select("doc_id", "rn", F.lit(1).alias("col"), F.lit("overflow").alias("kind"))
     return values, geometry.extract(typeset.render(values, _SUPPLIER, bad), typeset.spec_for(_SUPPLIER))
 
@@ -377,7 +377,7 @@ def overflow_repaired(spark, sf_dir):
 
 @query("SELECT 'nation' AS doc_id, row_number() OVER (ORDER BY n_nationkey) AS row_no, CAST(row_number() OVER (ORDER BY n_nationkey) AS VARCHAR) AS no, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
 def roundtrip_nation(spark, sf_dir):
-    return round_trip(table(spark, sf_dir, "nation"), F.lit("nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION)
+    return round_trip(table(spark, sf_dir, "nation"), "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION)
 
 
 _PART_SELECT = f"SELECT 'part' AS doc_id, {_PART_RN} + 1 AS row_no, CAST({_PART_RN} + 1 AS VARCHAR) AS no, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type FROM part"
@@ -399,7 +399,7 @@ CUSTOMER = ExportLayout((PrintColumn("no", "code", 8), PrintColumn("c_custkey",
 
 @query("SELECT 'customer' AS doc_id, row_number() OVER (ORDER BY c_custkey) AS row_no, CAST(row_number() OVER (ORDER BY c_custkey) AS VARCHAR) AS no, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
 def roundtrip_customer(spark, sf_dir):
-    return round_trip(table(spark, sf_dir, "customer"), F.lit("customer"), "c_custkey", ["c_custkey", "c_name", "c_mktsegment"], CUSTOMER)
+    return round_trip(table(spark, sf_dir, "customer"), "customer", "c_custkey", ["c_custkey", "c_name", "c_mktsegment"], CUSTOMER)
 
 
 ORDERS = ExportLayout((PrintColumn("no", "code", 8), PrintColumn("o_orderkey", "code", 10), PrintColumn("o_custkey", "code", 10), PrintColumn("o_orderstatus", "code", 4), PrintColumn("o_orderpriority", "en", 16)))
@@ -417,7 +417,7 @@ _DAMAGE = {"split_word": 20, "swallow_space": 20, "double_space": 20, "interleav
 
 
 def _damaged(spark, sf_dir, counts):
-    values = stored(printed(table(spark, sf_dir, "part"), F.lit("part"), "p_partkey", PART_NAMES, PLAIN))
+    values = stored(printed(table(spark, sf_dir, "part"), "part", "p_partkey", PART_NAMES, PLAIN))
     defects = stored(typeset.plan_defects(values, PLAIN, counts))
     words = values.select(F.explode(F.flatten(F.transform("values", lambda t: F.split(t, " ")))).alias("word")).where(F.col("word").rlike("^[A-Za-z]+$"))
     return values, defects, typeset.render(values, PLAIN, defects), words
@@ -444,16 +444,16 @@ def placeholder_report(spark, sf_dir):
     return checks.placeholders(x.cells()).select("row_no", "value")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('swallowed-space', CAST(20 AS BIGINT)), ('double-space', 20), ('split-word', 20), ('reassign-window', 20)) t(op, n)")
 def repair_operators(spark, sf_dir):
-    """What each repair did, by operator."""
+    """What each repair did, by operator: as often as its defect was planted, and nothing else."""
     values, _, glyphs, words = _damaged(spark, sf_dir, _DAMAGE)
     return recover(glyphs, typeset.spec_for(PLAIN), typeset.ground_truth(values), words).repaired.by_operator
 
 
-@query()
+@query("SELECT * FROM (VALUES ('split_word', CAST(3 AS BIGINT)), ('swallow_space', 3), ('double_space', 3), ('interleave', 2), ('placeholder', 2)) t(kind, n)")
 def planned_defects(spark, sf_dir):
-    """Defects planned for the part catalogue, by kind."""
+    """Defects planned for the part catalogue, by kind: as many as asked for, of the kinds for which it has a place."""
     return typeset.plan_defects(_part_values(spark, sf_dir), PLAIN, typeset.DEFECTS).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -462,26 +462,26 @@ f AS (SELECT DISTINCT page, t.text, t.y, t.spacing FROM o, (VALUES ('EXPORT', 26
 SELECT text, y, count(DISTINCT page) AS pages, 4e0 AS spacing FROM o GROUP BY text, y HAVING count(DISTINCT page) >= 2 UNION ALL SELECT text, y, count(*) AS pages, max(spacing) FROM f GROUP BY text, y HAVING count(*) >= 2 OR max(spacing) > 10""")
 def watermark_detect(spark, sf_dir):
     layout = ExportLayout((PrintColumn("p_brand", "code", 10),), watermark="S A M P L E")
-    values = typeset.numbered(table(spark, sf_dir, "part"), F.lit("part"), "p_partkey").select("doc_id", "rn", F.array("p_brand").alias("values"))
+    values = typeset.numbered(table(spark, sf_dir, "part"), "part", "p_partkey").select("doc_id", "rn", F.array("p_brand").alias("values"))
     return checks.watermarks(geometry.recon(typeset.render(values, layout))).select("text", "y", "pages", "spacing")
 
 
 @query("SELECT CAST(i AS INTEGER) AS edge, x AS \"left\", n FROM (SELECT count(*) AS n FROM nation), (VALUES (0, 21e0), (1, 47e0), (2, 115e0)) t(i, x)")
 def column_edges(spark, sf_dir):
     layout = ExportLayout(NATION.columns, header=None, footer=None, merged=frozenset({2}))
-    glyphs = typeset.render(printed(table(spark, sf_dir, "nation"), F.lit("nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], layout), layout)
+    glyphs = typeset.render(printed(table(spark, sf_dir, "nation"), "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], layout), layout)
     return checks.column_edges(geometry.recon(glyphs)).select("edge", "left", "n")
 
 
 @query("""SELECT CAST(rn // 40 + 1 AS INTEGER) AS page, 76 + 16e0 * (rn % 40) AS y, 21e0 AS x0, 21 + 4e0 * length(CAST(rn + 1 AS VARCHAR)) AS x1, CAST(rn + 1 AS VARCHAR) AS text FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rn FROM nation)""")
 def recon_objects(spark, sf_dir):
-    glyphs = typeset.render(printed(table(spark, sf_dir, "nation"), F.lit("nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION), NATION)
+    glyphs = typeset.render(printed(table(spark, sf_dir, "nation"), "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION), NATION)
     return geometry.recon(glyphs, typeset.spec_for(NATION)).where("anchor IS NOT NULL").select("page", "y", "x0", "x1", "text")
 
 
 @query("SELECT 1 AS page, CAST(sum(length(n_name)) AS BIGINT) AS n FROM nation")
 def evidence_crop(spark, sf_dir):
-    glyphs = typeset.render(printed(table(spark, sf_dir, "nation"), F.lit("nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION), NATION)
+    glyphs = typeset.render(printed(table(spark, sf_dir, "nation"), "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION), NATION)
     left = NATION.left(2)
     return geometry.crop(glyphs, 1, left, NATION.first_y - 1, left + NATION.width(2), NATION.footer_y - 4).groupBy("page").agg(F.count("*").alias("n"))
 
@@ -496,7 +496,7 @@ def catalogue_recovered(spark, sf_dir):
 
 
 def _ruled(spark, sf_dir):
-    values = printed(table(spark, sf_dir, "nation"), F.lit("nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION)
+    values = printed(table(spark, sf_dir, "nation"), "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION)
     return values, typeset.render(values, NATION), typeset.ruled(values, NATION)
 
 
@@ -590,7 +590,181 @@ def strided_sample(spark, sf_dir):
 
 @query(ORACLE_SQL["roundtrip_nation"])
 def stream_roundtrip_nation(spark, sf_dir):
-    glyphs = typeset.render(printed(table(spark, sf_dir, "nation"), F.lit("nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION), NATION)
+    glyphs = typeset.render(printed(table(spark, sf_dir, "nation"), "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], NATION), NATION)
     return streams.recover_stream(spark, streams.as_files(glyphs), typeset.spec_for(NATION))
 
 
+
+
+# --- evidence, logs and files of whole recoveries ----------------------------------------------------------------------
+
+
+@query(f"SELECT rn + 1 AS row_no, 2 AS col, 'double-space' AS op, 'collapsed' AS note FROM (SELECT {_PART_RN} AS rn, p_name FROM part) WHERE rn % 30 = 1 AND contains(p_name, ' ') AND length(p_name) < 14")
+def repair_log(spark, sf_dir):
+    values = stored(printed(table(spark, sf_dir, "part"), "part", "p_partkey", PART_NAMES, PLAIN))
+    name = F.get("values", F.lit(2))
+    bad = values.where((F.col("rn") % 30 == 1) & name.contains(" ") & (F.length(name) < 14)).select("doc_id", "rn", F.lit(2).alias("col"), F.lit("double_space").alias("kind"))
+    done = recover(typeset.render(values, PLAIN, bad), typeset.spec_for(PLAIN), typeset.ground_truth(values))
+    return done.repaired.log.select("row_no", "col", "op", "note")
+
+
+def _shortened(spark, sf_dir, doc):
+    """Printed rows of which some lack the last three letters of their type, and the whole ones."""
+    whole = stored(printed(table(spark, sf_dir, "part"), doc, "p_partkey", PART_NAMES, PLAIN))
+    kind = F.get("values", F.lit(4))
+    less = F.when(F.col("rn") % 25 == 3, F.concat(F.slice("values", 1, 4), F.array(F.substring(kind, F.lit(1), F.length(kind) - 3)))).otherwise(F.col("values"))
+    return whole.withColumn("values", less), whole
+
+
+@query(f"SELECT rn + 1 AS row_no, 4 AS col, left(p_type, length(p_type) - 3) AS candidate, true AS expected FROM (SELECT {_PART_RN} AS rn, p_type FROM part) WHERE rn % 25 = 3")
+def completions_expected(spark, sf_dir):
+    values, whole = _shortened(spark, sf_dir, "part")
+    done = recover(typeset.render(values, PLAIN), typeset.spec_for(PLAIN), typeset.ground_truth(whole)).repaired
+    marked = done.expected_exceptions.select("doc_id", "row_no", F.lit(True).alias("expected"))
+    return done.completions.join(marked, ["doc_id", "row_no"], "full_outer").select("row_no", "col", "candidate", "expected")
+
+
+_TWO_DOCS = "(CASE WHEN p_partkey % 2 = 0 THEN 'whole' ELSE 'short' END)"
+
+
+@query(f"""SELECT doc_id, rn + 1 AS row_no, CASE WHEN doc_id = 'short' AND rn % 25 = 3 THEN left(p_type, length(p_type) - 3) ELSE p_type END AS p_type
+FROM (SELECT {_TWO_DOCS} AS doc_id, row_number() OVER (PARTITION BY {_TWO_DOCS} ORDER BY p_partkey) - 1 AS rn, p_type FROM part)""")
+def references_by_document(spark, sf_dir):
+    """One document's reference lacks a row and is not used; the other document is completed from its own."""
+    values, whole = _shortened(spark, sf_dir, F.when(F.col("p_partkey") % 2 == 0, "whole").otherwise("short"))
+    targets = typeset.ground_truth(whole).where("doc_id = 'whole' OR row_no > 1")
+    done = recover(typeset.render(values, PLAIN), typeset.spec_for(PLAIN), targets)
+    return geometry.wide(done.rows, done.spec).select("doc_id", "row_no", "p_type")
+
+
+def _by_hand(spark, sf_dir):
+    """Characters of brands: every tenth has one that lies on the one before, every tenth ends at the next column."""
+    spec = TableSpec((Column("a", 0.0, "code"), Column("b", 100.0, "code")), 200.0)
+    p = table(spark, sf_dir, "part")
+    left = F.when(F.col("p_partkey") % 10 == 7, 99.8 - 4 * F.length("p_brand")).otherwise(F.lit(10.0))
+    chars = p.select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("p_partkey").cast("int").alias("line_no"), F.col("p_partkey").cast("int").alias("band"), left.alias("left"), F.posexplode(F.split("p_brand", "")).alias("seq", "ch")).where("ch <> ''")
+    x0 = F.col("left") + 4 * F.col("seq") - F.when((F.col("band") % 10 == 3) & (F.col("seq") == 4), 3.0).otherwise(0.0)
+    placed = chars.withColumns({"y": F.lit(10.0), "is_anchor": F.lit(False), "anchor": F.lit(None).cast("string"), "x0": x0, "x1": x0 + 4, "cx": x0 + 2}).withColumn("col", F.lit(0))
+    return placed, spec
+
+
+@query("SELECT CAST(p_partkey AS INTEGER) AS band, CASE p_partkey % 10 WHEN 3 THEN 'overlap' ELSE 'clip' END AS flag, 0 AS idx FROM part WHERE p_partkey % 10 IN (3, 7)")
+def overlap_and_clip_flags(spark, sf_dir):
+    chars, spec = _by_hand(spark, sf_dir)
+    return geometry.flags(geometry.fragments(chars, spec)).select("band", "flag", "idx")
+
+
+@query("SELECT 'd' AS doc_id, CAST(sum(length(p_brand)) FILTER (WHERE p_partkey % 5 = 2) AS BIGINT) AS margin_chars, CAST(sum(length(p_brand)) FILTER (WHERE p_partkey % 5 <> 2 AND p_partkey % 7 <> 0) AS BIGINT) AS spilled_chars FROM part")
+def margin_characters(spark, sf_dir):
+    chars, spec = _by_hand(spark, sf_dir)
+    moved = chars.withColumn("col", F.when(F.col("band") % 5 == 2, -1).otherwise(0)).withColumn("is_anchor", F.col("band") % 7 == 0)
+    return conserve.margins(moved, spec)
+
+
+_MORE = "CASE WHEN p_partkey % 6 = 1 THEN p_name || 'zz' ELSE p_name END"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, ch, count(*) AS a FROM (SELECT p_partkey, unnest(string_split({hard_sql(_MORE)}, '')) AS ch FROM part) WHERE ch <> '' GROUP BY ALL),
+b AS (SELECT p_partkey, ch, count(*) AS b FROM (SELECT p_partkey, unnest(string_split({hard_sql('p_name')}, '')) AS ch FROM part) WHERE ch <> '' GROUP BY ALL)
+SELECT p_partkey AS row_no, ch, greatest(coalesce(a, 0) - coalesce(b, 0), 0) AS extra, greatest(coalesce(b, 0) - coalesce(a, 0), 0) AS missing FROM a FULL JOIN b USING (p_partkey, ch) WHERE coalesce(a, 0) <> coalesce(b, 0)""")
+def conservation_by_anchor(spark, sf_dir):
+    """The evidence of a row lies in two bands of one anchor; they are pooled."""
+    spec = TableSpec((Column("no", 0.0, "code"), Column("name", 10.0)), 100.0)
+    p = table(spark, sf_dir, "part").select(F.lit("part").alias("doc_id"), F.col("p_partkey").alias("row_no"), "p_name", F.expr(_MORE).alias("more"))
+    half = F.floor(F.length("p_name") / 2).cast("int")
+    pieces = F.array(F.substring("p_name", F.lit(1), half), F.substring("p_name", half + 1, F.length("p_name")))
+    bands = p.select("doc_id", "row_no", F.posexplode(pieces).alias("k", "t")).select("doc_id", (F.col("k") + 1).alias("page"), F.col("row_no").cast("int").alias("band"), "t")
+    rows = p.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"), F.col("row_no").cast("int").alias("band"), "row_no", F.col("row_no").cast("string").alias("anchor"))
+    cells = p.select("doc_id", "row_no", F.lit(1).alias("col"), F.col("more").alias("value"))
+    own = rows.where("page = 1")
+    pages = conserve.exploded(bands, conserve.BAND, "t")
+    pooled = pages.join(rows.select(*conserve.BAND, "anchor"), conserve.BAND).select("doc_id", F.lit(1).alias("page"), "band", "ch", "n")
+    return conserve.by_anchor(pooled, cells, own, spec).select("row_no", "ch", "extra", "missing")
+
+
+@query(f"""WITH p AS (SELECT p_partkey + 1 AS row_no, p_name FROM part WHERE p_partkey % 6 = 1 ORDER BY p_partkey LIMIT 10)
+SELECT string_agg('part row ' || row_no || ': +''Z'' x 2', chr(10) ORDER BY row_no) || chr(10) || '...' AS said FROM p""")
+def rendered_problems(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.lit("part").alias("doc_id"), (F.col("p_partkey") + 1).alias("row_no"), "p_name", F.expr(_MORE).alias("more"))
+    a, b = (conserve.exploded(p, ["doc_id", "row_no"], c).withColumnRenamed("n", n) for c, n in (("more", "a"), ("p_name", "b")))
+    said = conserve.render_problems(conserve.difference(a, b, ["doc_id", "row_no", "ch"]))
+    return spark.createDataFrame([(said,)], "said string")
+
+
+@query("""SELECT 'nation' AS doc_id, '1 of 1 probed pages hold a ruled table, ' || (SELECT count(*) FROM nation) || ' rows in all' AS reason UNION ALL SELECT 'part', '0 of 4 probed pages hold a ruled table, 0 rows in all' UNION ALL SELECT 'void', 'no pages'""")
+def probe_reasons(spark, sf_dir):
+    _, glyphs, rules = _ruled(spark, sf_dir)
+    both = glyphs.union(typeset.render(_part_values(spark, sf_dir), PART))
+    pages = both.groupBy("doc_id").agg(F.max("page").alias("n_pages")).union(spark.createDataFrame([("void", 0)], "doc_id string, n_pages int"))
+    return bordered.probe(pages, both, rules).select("doc_id", "reason")
+
+
+@query("SELECT p_partkey, len(string_split(p_name, 'a')) AS n FROM part WHERE len(string_split(p_name, 'a')) <> 2")
+def ragged_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", "a").alias("values"))
+    return checks.ragged(rows, 2).select("p_partkey", F.size("values").cast("long").alias("n"))
+
+
+@query("""WITH t AS (SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 4 = 1 AND o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) THEN 50 * length(o_orderpriority) ELSE length(o_orderpriority) END AS n FROM orders)
+SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, max(o_orderkey) AS row_no, max_by(n, o_orderkey) AS length, round(avg(n), 6) AS usual, avg(n) AS a FROM t GROUP BY o_custkey) WHERE length > 3 * a""".replace("SELECT * FROM (SELECT CAST", "SELECT doc_id, row_no, length, usual FROM (SELECT CAST"))
+def trailing_blocks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    last = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"))
+    text = F.when((F.col("o_custkey") % 4 == 1) & (F.col("o_orderkey") == F.col("last")), F.repeat("o_orderpriority", F.lit(50))).otherwise(F.col("o_orderpriority"))
+    rows = o.join(last, "o_custkey").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("row_no"), text.alias("text"))
+    return checks.trailing_blocks(rows, ["text"]).select("doc_id", "row_no", F.col("length").cast("long").alias("length"), F.round("usual", 6).alias("usual"))
+
+
+def _scratch(spark) -> str:
+    import uuid
+
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT 'part' AS doc_id, row_number() OVER (ORDER BY p_partkey) AS row_no, p_name || chr(10) || '\"x\", y' AS p_name, p_brand FROM part")
+def csv_reference(spark, sf_dir):
+    """A reference file with quotes and line breaks inside its fields."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit('\n"x", y')).alias("p_name"), "p_brand")
+    path = _scratch(spark)
+    p.repartition(1).sortWithinPartitions("p_partkey").drop("p_partkey").write.options(header=True, escape='"').csv(path)
+    back = references.reference_rows(spark, f"{path}/*.csv", ["p_name", "p_brand"], "part")
+    return back.select("doc_id", "row_no", F.get("values", F.lit(0)).alias("p_name"), F.get("values", F.lit(1)).alias("p_brand"))
+
+
+@query("SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w <> ''")
+def dictionary_words(spark, sf_dir):
+    path = _scratch(spark)
+    table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).select(F.concat(F.lit("  "), F.upper("w"), F.lit(" "))).write.text(path)
+    return references.dictionary(spark, path)
+
+
+@query(f"""SELECT * FROM (VALUES {", ".join(f"({i}, '{c.name}', CAST({PART.left(i)} AS DOUBLE), '{c.kind}')" for i, c in enumerate(PART.columns))}) t(i, name, "left", kind)""")
+def layout_files(spark, sf_dir):
+    """A layout written as JSON and read from the store."""
+    import json
+
+    path = _scratch(spark)
+    spark.createDataFrame([(json.dumps(layouts.to_dict(typeset.spec_for(PART))),)], "value string").write.text(path)
+    spec = layouts.load(path, spark)
+    assert spec == typeset.spec_for(PART)
+    return spark.createDataFrame([(i, c.name, float(c.left), c.kind) for i, c in enumerate(spec.columns)], "i int, name string, left double, kind string")
+
+
+@query("""SELECT row_number() OVER (ORDER BY n_nationkey) + 1 AS row_no, 2 AS col, n_name || '!' AS expected, n_name AS found FROM nation QUALIFY n_nationkey % 5 = 0
+UNION ALL SELECT count(*) + 2, 1, '99', NULL FROM nation UNION ALL SELECT count(*) + 2, 2, 'none', NULL FROM nation""")
+def workbook_differences(spark, sf_dir):
+    """A workbook read back against rows of which some differ and one is not in it."""
+    import tempfile
+
+    n = table(spark, sf_dir, "nation")
+    rows = numbered_values(n, "n_nationkey", [F.col("n_nationkey").cast("string"), F.col("n_name")])
+    changed = numbered_values(n, "n_nationkey", [F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 0, F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name"))])
+    more = n.agg((F.count("*") + 1).alias("row_no"), F.array(F.lit("99"), F.lit("none")).alias("values"))
+    spec = TableSpec((Column("key", 0.0, "code"), Column("name", 10.0)), 100.0)
+    with tempfile.TemporaryDirectory() as folder:  # a single file has one writer, the driver, which reads it at once
+        path = writers.to_xlsx(rows, spec, f"{folder}/nation.xlsx")
+        return writers.verify_written(spark, path, changed.union(more)).select("row_no", "col", "expected", "found")
+
+
+def numbered_values(df, order, values):
+    return typeset.numbered(df, "all", order).select((F.col("rn") + 1).cast("long").alias("row_no"), F.array(*values).alias("values"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ from pyspark.sql.window import Window
 
 from printloom.functions.text import is_latin1, strip, text_or_empty
 
+#: Ranges of a key that are sorted apart, and keys of the sample that cuts them.
+RANGES, SAMPLED = 32, 4096
+#: Rows of one batch of a file that is read.
+BATCH_ROWS = 4096
+
 
 def reference_rows(spark: SparkSession, path: str, names: list[str], doc_id: str) -> DataFrame:
     """(doc_id, row_no, values) of a CSV file: rows of any length, in file order; a first row equal to the names is a header.
@@ -29,11 +35,14 @@ def reference_files(spark: SparkSession, path: str, names: list[str]) -> DataFra
 
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = list(csv.reader(io.StringIO(content.decode("utf-8-sig"), newline="")))
-                if rows and [c.strip() for c in rows[0]] == names:
-                    rows = rows[1:]
                 stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                yield pa.record_batch({"doc_id": pa.array([stem] * len(rows), pa.string()), "row_no": pa.array(range(1, len(rows) + 1), pa.int64()), "values": pa.array(rows, pa.list_(pa.string()))})
+                rows = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline=""))
+                first = next(rows, None)
+                kept = rows if first is None or [c.strip() for c in first] == names else chain([first], rows)
+                at = 0
+                while own := list(islice(kept, BATCH_ROWS)):
+                    yield pa.record_batch({"doc_id": pa.array([stem] * len(own), pa.string()), "row_no": pa.array(range(at + 1, at + len(own) + 1), pa.int64()), "values": pa.array(own, pa.list_(pa.string()))})
+                    at += len(own)
 
     return files.mapInArrow(parse, "doc_id string, row_no long, values array<string>")
 
@@ -59,13 +68,20 @@ def strided_sample(df: DataFrame, columns: list[str], order: str, stride: int, l
 def with_positions(df: DataFrame, order: str, name: str = "_at") -> DataFrame:
     """The place (from 0) of each row by ``order``: ranges are sorted apart, and each adds the sizes of those before it.
 
-    Ranges are cut by approximate quantiles of ``order``, so the cut of a row depends on its value alone and a task that
-    runs again places it the same.
+    Ranges are cut at approximate quantiles of ``order`` (of keys that are no numbers: of a sample chosen by hash), so the
+    cut of a row depends on its value alone and a task that runs again places it the same. Null keys come first.
     """
-    cuts = df.stat.approxQuantile(order, [i / 32 for i in range(1, 32)], 0.001) if dict(df.dtypes)[order] in ("int", "bigint", "double", "float") else []
+    kind = dict(df.dtypes)[order]
+    if kind in ("int", "bigint", "double", "float", "smallint", "tinyint"):
+        cuts = df.stat.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.001)
+    else:
+        every = max(1, df.count() // SAMPLED)
+        seen = df.select(order).where(F.col(order).isNotNull() & (F.pmod(F.xxhash64(order), F.lit(every)) == 0)).distinct().limit(4 * SAMPLED).collect()
+        keys = sorted(r[0] for r in seen)
+        cuts = keys[:: max(1, len(keys) // RANGES)][1:]
     cuts = sorted(set(cuts))
-    edge = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    placed = df.withColumn("_range", F.size(F.filter(edge, lambda e: e <= F.col(order))))
+    edge = F.array(*map(F.lit, cuts)) if cuts else F.array().cast(f"array<{kind}>")
+    placed = df.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(edge, lambda e: e <= F.col(order)))))
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
     own = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
