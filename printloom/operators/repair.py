@@ -6,7 +6,7 @@ looks at islands of mismatching rows, in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -134,6 +134,13 @@ def recut(pool: list[tuple], lens: list[int], targets: list[str], origins: list[
     return list(best[len(lens)][1])
 
 
+def _windows(i: int, n: int, widest: int) -> Iterator[range]:
+    """Runs of rows that hold row i of n: from two rows to the widest, each from its topmost place down."""
+    for width in range(2, widest + 1):
+        for top in range(max(0, i + 1 - width), min(i, n - width) + 1):
+            yield range(top, top + width)
+
+
 def _island(group: pa.Table, max_window: int) -> pa.Table:
     """Re-cuts one island of a column: rows in order, greedily from the first mismatch on."""
     found = sorted(group.to_pylist(), key=lambda r: r["row_no"])
@@ -145,29 +152,22 @@ def _island(group: pa.Table, max_window: int) -> pa.Table:
     for i in range(n):
         if matches(i):
             continue
-        done = False
-        for w in range(2, max_window + 1):
-            for lo in range(max(0, i - w + 1), min(n - w, i) + 1):
-                span = range(lo, lo + w)
-                if numbers[lo + w - 1] - numbers[lo] != w - 1 or all(map(matches, span)):
-                    continue
-                pool = sorted(((p[0], p[1], j, p[3], p[4], p[2]) for j in span for p in rows[j]), key=lambda p: p[:4])
-                if not pool or len(pool) > MAX_POOL:
-                    continue
-                cuts = recut([p[4] for p in pool], [len(p[4]) for p in pool], [targets[j] for j in span], [p[2] for p in pool], lo)
-                if cuts is None:
-                    continue
-                for k, (a, b) in enumerate(zip([0, *cuts], cuts)):
-                    new = [(p[0], p[1], p[5], p[3], p[4]) for p in pool[a:b]]
-                    if new != rows[lo + k]:
-                        changed.add(lo + k)
-                        touched.add(lo + k)
-                        rows[lo + k] = new
-                notes[lo] = f"rows {numbers[lo]}-{numbers[lo + w - 1]} re-cut (w={w})"
-                done = True
-                break
-            if done:
-                break
+        for span in _windows(i, n, max_window):
+            lo, w = span[0], len(span)
+            if numbers[span[-1]] - numbers[lo] != w - 1 or all(map(matches, span)):
+                continue
+            pool = sorted(((p[0], p[1], j, p[3], p[4], p[2]) for j in span for p in rows[j]), key=lambda p: p[:4])
+            cuts = recut([p[4] for p in pool], [len(p[4]) for p in pool], [targets[j] for j in span], [p[2] for p in pool], lo) if 0 < len(pool) <= MAX_POOL else None
+            if cuts is None:
+                continue
+            for j, a, b in zip(span, [0, *cuts], cuts):
+                new = [(p[0], p[1], p[5], p[3], p[4]) for p in pool[a:b]]
+                if new != rows[j]:
+                    rows[j] = new
+                    changed.add(j)
+                    touched.add(j)
+            notes[lo] = f"rows {numbers[lo]}-{numbers[span[-1]]} re-cut (w={w})"
+            break
     keep = sorted(changed | set(notes))
     piece = pa.struct([("page", pa.int32()), ("y", pa.float64()), ("origin", pa.int32()), ("text", pa.string())])
     return pa.table({

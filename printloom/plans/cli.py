@@ -41,14 +41,13 @@ def run_extract(spark: SparkSession, path: str, spec: TableSpec, out: str, refer
     targets = None if reference is None else references.reference_files(spark, reference, spec.names)
     done = recover(glyphs_of(spark, path), spec, targets, references.dictionary(spark, words) if words else None)
     values, good = done.values, True
-    problems = conserve.render_problems(done.row_problems)
     for r in values.groupBy("doc_id").agg(F.count("*").alias("n")).toLocalIterator():
         own, doc = values.where(F.col("doc_id") == r["doc_id"]), r["doc_id"]
         writers.to_csv(own, spec, f"{out}/{doc}.csv")
         book = writers.to_xlsx(own, spec, f"{out}/{doc}.xlsx")
         good &= writers.verify_written(spark, book, own).isEmpty()
         at = lambda df: df.where(F.col("doc_id") == doc)  # noqa: B023, E731
-        writers.report(f"{out}/{doc}.md", r["n"], spec, at(done.diffs), problems, at(done.repaired.log), at(done.repaired.completions))
+        writers.report(f"{out}/{doc}.md", r["n"], spec, at(done.diffs), conserve.render_problems(at(done.row_problems)), at(done.repaired.log), at(done.repaired.completions))
     return done, good and done.whole_problems.isEmpty() and done.row_problems.isEmpty() and done.diffs.isEmpty()
 
 

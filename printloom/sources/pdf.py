@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from printloom.functions.typography import OTHER_ADVANCE, advance_map
 from printloom.operators.geometry import GLYPH_SCHEMA
+from printloom.sources.files import document_name
 
 #: Bounds: bytes of a file, of a stream unpacked, of all streams; objects; depth of nesting; operators of a page.
 MAX_FILE, MAX_STREAM, MAX_TOTAL, MAX_OBJECTS, MAX_DEPTH, MAX_OPERATORS = 512 << 20, 64 << 20, 1 << 30, 2_000_000, 64, 5_000_000
@@ -369,12 +370,27 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _stem(path: str) -> str:
-    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+def _read(content: bytes, part: int) -> Iterator[tuple[int, list, str | None]]:
+    """(page, items, error) of a file; a page or a whole file (page 0) that cannot be read gives an error and no items.
+
+    Files come from anywhere, so whatever a damaged one raises counts.
+    """
+    try:
+        doc = Document(content)
+        pages = doc.pages()
+    except Exception as e:  # noqa: BLE001
+        yield 0, [], f"{type(e).__name__}: {e}"
+        return
+    for number, page in enumerate(pages, 1):
+        try:
+            items, error = page_items(doc, page)[part], None
+        except Exception as e:  # noqa: BLE001
+            items, error = [], f"{type(e).__name__}: {e}"
+        yield number, items, error
 
 
 def read_glyphs(spark: SparkSession, path: str) -> DataFrame:
-    """Glyphs of all files under a path; a file is the unit of work, its name without ending the document."""
+    """Glyphs of all files under a path; a file is the unit of work and a document. Pages that cannot be read have none: see :func:`read_errors`."""
     def parse(batches):
         import pyarrow as pa
 
@@ -382,9 +398,8 @@ def read_glyphs(spark: SparkSession, path: str) -> DataFrame:
         names = ["doc_id", "page", "line_no", "seq", "ch", "x0", "y0", "x1", "y1", "line_y"]
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                doc = Document(content)
-                for number, page in enumerate(doc.pages(), 1):
-                    rows = [(_stem(file), number, *g) for g in page_items(doc, page)[0]]
+                for number, items, _ in _read(content, 0):
+                    rows = [(document_name(file, path), number, *g) for g in items]
                     if rows:
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -398,9 +413,8 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                doc = Document(content)
-                for number, page in enumerate(doc.pages(), 1):
-                    rows = [(_stem(file), number, *b) for b in page_items(doc, page)[1]]
+                for number, items, _ in _read(content, 1):
+                    rows = [(document_name(file, path), number, *b) for b in items]
                     if rows:
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), *[pa.float64()] * 4))], names=["doc_id", "page", "x0", "y0", "x1", "y1"])
 
@@ -408,17 +422,31 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, n_pages) of all files under a path."""
+    """(doc_id, n_pages) of all files under a path; 0 pages where a file cannot be read. Pages that cannot be read count, so a probe misses them."""
     def parse(batches):
         import pyarrow as pa
 
         for batch in batches:
-            files = batch.column(0).to_pylist()
-            yield pa.record_batch({"doc_id": pa.array(map(_stem, files), pa.string()), "n_pages": pa.array([len(Document(c).pages()) for c in batch.column(1).to_pylist()], pa.int32())})
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                last = max((number for number, _, _ in _read(content, 1)), default=0)
+                yield pa.record_batch({"doc_id": pa.array([document_name(file, path)], pa.string()), "n_pages": pa.array([last], pa.int32())})
 
     return _files(spark, path).mapInArrow(parse, "doc_id string, n_pages int")
 
 
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, page, error) of what cannot be read; page 0 stands for a whole file."""
+    def parse(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [(document_name(file, path), number, error) for number, _, error in _read(content, 0) if error]
+                yield pa.record_batch([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.int32(), pa.string()))], names=["doc_id", "page", "error"])
+
+    return _files(spark, path).mapInArrow(parse, "doc_id string, page int, error string")
+
+
 def write_pdf(path: str, glyphs: list, rules: list = (), advance: float = 4.0, size: tuple[float, float] = (842.0, 1191.0)) -> str:
     """One document's glyphs (rows of the glyph schema, Latin-1 characters) and rules as a file, for tests."""
     font_size = advance / 0.6
@@ -454,4 +482,4 @@ def write_pdf(path: str, glyphs: list, rules: list = (), advance: float = 4.0, s
     return path
 
 
-__all__ = ["Document", "page_items", "read_glyphs", "read_pages", "read_rules", "write_pdf"]
+__all__ = ["Document", "page_items", "read_errors", "read_glyphs", "read_pages", "read_rules", "write_pdf"]

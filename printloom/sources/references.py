@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from printloom.functions.text import is_latin1, strip, text_or_empty
+from printloom.sources.files import document_name
 
 #: Ranges of a key that are sorted apart, and keys of the sample that cuts them.
 RANGES, SAMPLED = 32, 4096
@@ -27,7 +28,7 @@ def reference_rows(spark: SparkSession, path: str, names: list[str], doc_id: str
 
 
 def reference_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """The same for all files under a path; doc_id is the file's name without its ending."""
+    """The same for all files under a path; doc_id is the file's path below it, without its ending."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches):
@@ -35,7 +36,7 @@ def reference_files(spark: SparkSession, path: str, names: list[str]) -> DataFra
 
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                stem = document_name(file, path)
                 rows = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline=""))
                 first = next(rows, None)
                 kept = rows if first is None or [c.strip() for c in first] == names else chain([first], rows)

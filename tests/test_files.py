@@ -5,6 +5,7 @@ from printloom.operators import typeset
 from printloom.operators.typeset import ExportLayout, PrintColumn
 from printloom.plans import cli
 from printloom.sources import layouts, pdf, writers
+from printloom.sources.files import document_name
 
 LAYOUT = ExportLayout((PrintColumn("no", "code", 6), PrintColumn("name", "en", 20), PrintColumn("note", "code", 14)), watermark="S A M P L E")
 
@@ -59,3 +60,18 @@ endstream endobj
     glyphs, boxes = pdf.page_items(doc, doc.pages()[0])
     assert [(g[0], g[2], g[3], g[5]) for g in glyphs] == [(0, "A", 10.0, 15.0), (0, "B", 20.0, 26.0), (1, "C", 10.0, 17.0)]
     assert boxes == [(0.0, 200.0, 50.0, 200.0)]
+
+
+def test_files_of_one_name_and_damaged_ones(spark, tmp_path):
+    glyph = {"page": 1, "line_no": 0, "seq": 0, "ch": "a", "x0": 20.0, "y0": 30.0, "x1": 24.0, "y1": 33.0, "line_y": 30.0}
+    for folder, ch in (("a", "x"), ("b", "y")):
+        (tmp_path / folder).mkdir()
+        pdf.write_pdf(str(tmp_path / folder / "one.pdf"), [glyph | {"ch": ch}])
+    (tmp_path / "b" / "bad.pdf").write_bytes(b"%PDF-1.4 nothing")
+    (tmp_path / "b" / "worse.pdf").write_bytes(b"no file of the kind")
+    path = f"{tmp_path}/*/*.pdf"
+    assert sorted((r["doc_id"], r["ch"]) for r in pdf.read_glyphs(spark, path).collect()) == [("a/one", "x"), ("b/one", "y")]
+    pages = {r["doc_id"]: r["n_pages"] for r in pdf.read_pages(spark, path).collect()}
+    assert pages["a/one"] == 1 and pages["b/worse"] == 0
+    assert "b/worse" in {r["doc_id"] for r in pdf.read_errors(spark, path).collect()} and pdf.read_rules(spark, path).count() == 0
+    assert document_name("file:/x/y/z.pdf", "/x/y/z.pdf") == "z" and document_name("file:/x/y.d/z", "file:///x") == "y.d/z"
