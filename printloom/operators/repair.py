@@ -6,8 +6,9 @@ looks at islands of mismatching rows, in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,8 @@ from printloom.plans.stages import stored
 
 #: Dictionary words up to which lookups are broadcast.
 BROADCAST_WORDS = 1_000_000
+#: Cells of a windowed re-cut that are Python objects at once, beside those of its windows.
+STEP_ROWS = 256
 LOG = "doc_id string, row_no long, col int, op string, note string"
 
 
@@ -141,50 +144,85 @@ def _windows(i: int, n: int, widest: int) -> Iterator[range]:
             yield range(top, top + width)
 
 
-def _island(group: pa.Table, max_window: int) -> pa.Table:
-    """Re-cuts one island of a column: rows in order, greedily from the first mismatch on."""
-    found = sorted(group.to_pylist(), key=lambda r: r["row_no"])
-    rows = [[(p["page"], p["y"], p["origin"], p["text"], h) for p, h in zip(r["pieces"], r["hards"])] for r in found]
-    targets, numbers = [r["target"] for r in found], [r["row_no"] for r in found]
-    changed, touched, notes = set(), set(), {}
-    n = len(rows)
-    matches = lambda j: "".join(p[4] for p in rows[j]) == targets[j]
-    for i in range(n):
-        if matches(i):
+class _Row:
+    """A cell's row while windows move over it; pieces are tuples (page, y, origin, text, hard form)."""
+
+    __slots__ = ("changed", "col", "doc_id", "note", "number", "pieces", "target")
+
+    def __init__(self, cell: dict) -> None:
+        self.doc_id, self.col, self.number, self.target = cell["doc_id"], cell["col"], cell["row_no"], cell["target"]
+        self.pieces = [(p["page"], p["y"], p["origin"], p["text"], h) for p, h in zip(cell["pieces"], cell["hards"])]
+        self.changed, self.note = False, None
+
+    def matches(self) -> bool:
+        return "".join(p[4] for p in self.pieces) == self.target
+
+
+def _settle(held: list[_Row], i: int, max_window: int) -> None:
+    """If row i mismatches, re-cuts the first window around it that can be."""
+    if held[i].matches():
+        return
+    for span in _windows(i, len(held), max_window):
+        own = held[span.start : span.stop]
+        if own[-1].number - own[0].number != len(own) - 1 or all(r.matches() for r in own):
+            continue
+        pool = sorted(((p[0], p[1], j, p[3], p[4], p[2]) for j, r in zip(span, own) for p in r.pieces), key=lambda p: p[:4])
+        if not 0 < len(pool) <= MAX_POOL:
             continue
-        for span in _windows(i, n, max_window):
-            lo, w = span[0], len(span)
-            if numbers[span[-1]] - numbers[lo] != w - 1 or all(map(matches, span)):
-                continue
-            pool = sorted(((p[0], p[1], j, p[3], p[4], p[2]) for j in span for p in rows[j]), key=lambda p: p[:4])
-            cuts = recut([p[4] for p in pool], [len(p[4]) for p in pool], [targets[j] for j in span], [p[2] for p in pool], lo) if 0 < len(pool) <= MAX_POOL else None
-            if cuts is None:
-                continue
-            for j, a, b in zip(span, [0, *cuts], cuts):
-                new = [(p[0], p[1], p[5], p[3], p[4]) for p in pool[a:b]]
-                if new != rows[j]:
-                    rows[j] = new
-                    changed.add(j)
-                    touched.add(j)
-            notes[lo] = f"rows {numbers[lo]}-{numbers[span[-1]]} re-cut (w={w})"
-            break
-    keep = sorted(changed | set(notes))
+        cuts = recut([p[4] for p in pool], [len(p[4]) for p in pool], [r.target for r in own], [p[2] for p in pool], span.start)
+        if cuts is None:
+            continue
+        for r, s, e in zip(own, [0, *cuts], cuts):
+            new = [(p[0], p[1], p[5], p[3], p[4]) for p in pool[s:e]]
+            if new != r.pieces:
+                r.pieces, r.changed = new, True
+        own[0].note = f"rows {own[0].number}-{own[-1].number} re-cut (w={len(own)})"
+        return
+
+
+def settled(rows: Iterable[_Row], max_window: int) -> Iterator[_Row]:
+    """The rows of one island, in order, once no window can change them: greedily from the first mismatch on.
+
+    A window around a row reaches max_window - 1 rows to either side, so no more than twice that are held.
+    """
+    reach = max_window - 1
+    held, at = [], 0  # at: the first row that is not settled
+    for row in rows:
+        held.append(row)
+        if len(held) > at + reach:
+            _settle(held, at, max_window)
+            at += 1
+            if at > reach:
+                yield held.pop(0)
+                at -= 1
+    for i in range(at, len(held)):
+        _settle(held, i, max_window)
+    yield from held
+
+
+def _recut_islands(batches: Iterable[pa.RecordBatch], max_window: int) -> Iterator[pa.RecordBatch]:
+    """Changed or noted rows of cells sorted by island and row; an island of any length passes through in small parts."""
+    cells = (c for batch in batches for s in range(0, batch.num_rows, STEP_ROWS) for c in batch.slice(s, STEP_ROWS).to_pylist())
+    islands = groupby(cells, key=lambda c: (c["doc_id"], c["col"], c["island"]))
+    out = (r for _, island in islands for r in settled(map(_Row, island), max_window) if r.changed or r.note)
     piece = pa.struct([("page", pa.int32()), ("y", pa.float64()), ("origin", pa.int32()), ("text", pa.string())])
-    return pa.table({
-        "doc_id": pa.array([found[0]["doc_id"]] * len(keep), pa.string()),
-        "row_no": pa.array([numbers[j] for j in keep], pa.int64()),
-        "col": pa.array([found[0]["col"]] * len(keep), pa.int32()),
-        "pieces": pa.array([[dict(zip(("page", "y", "origin", "text"), p)) for p in rows[j]] for j in keep], pa.list_(piece)),
-        "touched": pa.array([j in touched for j in keep], pa.bool_()),
-        "note": pa.array([notes.get(j) for j in keep], pa.string()),
-    })
+    while part := list(islice(out, STEP_ROWS)):
+        yield pa.record_batch({
+            "doc_id": pa.array([r.doc_id for r in part], pa.string()),
+            "row_no": pa.array([r.number for r in part], pa.int64()),
+            "col": pa.array([r.col for r in part], pa.int32()),
+            "pieces": pa.array([[dict(zip(("page", "y", "origin", "text"), p)) for p in r.pieces] for r in part], pa.list_(piece)),
+            "touched": pa.array([r.changed for r in part], pa.bool_()),
+            "note": pa.array([r.note for r in part], pa.string()),
+        })
 
 
 def reassign_windows(rows: DataFrame, spec: TableSpec, max_window: int = MAX_WINDOW, keep: Callable[[DataFrame], DataFrame] = stored) -> tuple[DataFrame, DataFrame]:
     """R2 on rows beside their reference: (rows, changes). Changes: doc_id, row_no, col, pieces, touched, note.
 
     A window holds at most ``max_window`` rows, so mismatches further than twice that apart cannot meet: each island
-    of mismatches, with clean rows around it, is a group of its own.
+    of mismatches, with clean rows around it, is settled on its own. Where a reference is shifted against its document,
+    an island is a whole column: it streams through one task, which holds two windows of it.
     """
     reach = max_window - 1
     every = F.array(*[
@@ -198,7 +236,9 @@ def reassign_windows(rows: DataFrame, spec: TableSpec, max_window: int = MAX_WIN
     order = Window.partitionBy("doc_id", "col").orderBy("row_no")
     islands = around.withColumn("_new", F.when(F.col("row_no") - F.lag("row_no").over(order) > 1, 1).otherwise(0)).withColumn("island", F.sum("_new").over(order))
     out = f"doc_id string, row_no long, col int, pieces array<{PIECE}>, touched boolean, note string"
-    changes = keep(islands.select("doc_id", "col", "island", "row_no", "pieces", "hards", "target").groupBy("doc_id", "col", "island").applyInArrow(lambda group: _island(group, max_window), out))
+    by = ["doc_id", "col", "island"]
+    dealt = islands.select(*by, "row_no", "pieces", "hards", "target").repartition(*by).sortWithinPartitions(*by, "row_no")
+    changes = keep(dealt.mapInArrow(lambda batches: _recut_islands(batches, max_window), out))
     per = [F.first(F.when(F.col("col") == i, F.col("pieces")), ignorenulls=True).alias(f"_n{i}") for i in range(spec.n)]
     new = changes.groupBy("doc_id", "row_no").agg(*per)
     merged = rows.join(new, ["doc_id", "row_no"], "left")

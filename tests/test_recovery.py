@@ -200,6 +200,69 @@ def test_recuts_equal_enumeration():
     assert hits > 1000
 
 
+def island(rng, n):
+    """Cells of n rows whose letters stand up to two rows from their own; some targets fit nothing."""
+    texts = ["".join(rng.choice("ABC") for _ in range(rng.randrange(1, 4))) for _ in range(n)]
+    cells = [{"doc_id": "d", "col": 1, "island": 0, "row_no": i, "target": t + "X" * (rng.random() < 0.1), "pieces": [], "hards": []} for i, t in enumerate(texts)]
+    at = 0
+    for i, t in enumerate(texts):
+        at = min(n - 1, max(at, i + rng.choice((-1, 0, 0, 1, 2))))
+        for k, ch in enumerate(t):
+            cells[at]["pieces"].append({"page": 1, "y": float(10 * i + k), "origin": at, "text": ch})
+            cells[at]["hards"].append(ch)
+    return cells
+
+
+def seen(rows):
+    return [(r.number, r.pieces, r.changed, r.note) for r in rows]
+
+
+def test_streamed_islands_equal_whole_ones():
+    import random
+
+    rng = random.Random(9)
+    notes, widest = 0, 0
+    for w in (2, 3, 4):
+        for n in (1, 2, 3, 5, 8, 40, 300):
+            cells = island(rng, n)
+            whole = [repair._Row(c) for c in cells]
+            for i in range(n):
+                repair._settle(whole, i, w)
+            taken = 0
+
+            def one_by_one():
+                nonlocal taken
+                for c in cells:
+                    taken += 1
+                    yield repair._Row(c)
+
+            out = []
+            for r in repair.settled(one_by_one(), w):
+                widest = max(widest, taken - len(out) - 2 * w if taken < n else 0)
+                out.append(r)
+            assert seen(out) == seen(whole)
+            notes += sum(r.note is not None for r in out)
+    assert notes > 50 and widest <= 0
+
+
+def test_a_shifted_reference_streams_through_batches():
+    import pyarrow as pa
+    import random
+
+    cells = [{**c, "island": k} for k, n in enumerate((700, 3)) for c in island(random.Random(k), n)]
+    batches = [pa.RecordBatch.from_pylist(cells[s : s + 97]) for s in range(0, len(cells), 97)]
+    got = [r for b in repair._recut_islands(batches, 3) for r in b.to_pylist()]
+    wanted = []
+    for k in (0, 1):
+        own = [repair._Row(c) for c in cells if c["island"] == k]
+        for i in range(len(own)):
+            repair._settle(own, i, 3)
+        wanted += [(r.number, [p[3] for p in r.pieces], r.changed, r.note) for r in own if r.changed or r.note]
+    assert [(r["row_no"], [p["text"] for p in r["pieces"]], r["touched"], r["note"]) for r in got] == wanted
+    assert len(wanted) > 100
+    assert list(repair._recut_islands([], 3)) == []
+
+
 def test_completion_takes_any_part_up_to_the_limit(spark):
     spec = TableSpec((Column("no", 0.0, "code"), Column("t", 50.0, "en")), 100.0)
     piece = lambda t: [(1, 0.0, 1, t)]
