@@ -10,8 +10,9 @@ which they differ in at most one, so no link is missed.
 ``one_of_each`` takes texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such fingerprints
 differ in up to 15 % of their bits, so these are wider: segments as long as the logarithm of the number of documents,
 so that keys stay selective, and as many that a pair at just 0.8 meets with a chance of 1 - MISS (two balls meet up to
-two bits apart). Fingerprints within NEAR_BITS of 128 tie texts to groups of candidates; within a group every link is
-verified exactly on whole shingle sets.
+two bits apart). Fingerprints within NEAR_BITS of their first 64 NEAR_LONGS bits tie texts to groups of candidates; within
+a group every link is verified exactly on whole shingle sets. Those bits are many enough that texts alike by chance do
+not tie groups to each other, however many texts there are.
 
 Cases: a null text is an empty one; texts without words have fingerprint zero and link like any other (they are one
 group of equal sets); a text of fewer words than a shingle is one shingle; whole texts are read; exact copies share a
@@ -46,10 +47,13 @@ HOT_SHARE = 1000
 
 #: One row of each group: words of a shingle, least Jaccard similarity as a fraction of whole numbers.
 NEAR_WORDS, NEAR = 5, (4, 5)
-#: Bits of 128 in which candidates may differ: over four standard deviations above the mean at 0.8.
-NEAR_BITS = 38
 #: Chance that a bit differs between sets of equal size with a similarity of 0.8: the angle of cosine 8/9 over pi.
 FLIP = math.acos(8 / 9) / math.pi
+#: 64-bit numbers of a fingerprint by which candidates are told, and bits of them in which candidates may differ: 4.6
+#: standard deviations above the mean at 0.8. Of unlike texts that share a key, some 1 in 100 million differ in no more
+#: (with 128 bits it would be 1 in 5,000, and each text meets thousands).
+NEAR_LONGS = 3
+NEAR_BITS = math.ceil(64 * NEAR_LONGS * FLIP + 4.6 * math.sqrt(64 * NEAR_LONGS * FLIP * (1 - FLIP)))
 #: Chance that a pair at just 0.8 shares no index value; least bits of a segment.
 MISS, LEAST_BITS = 0.01, 12
 #: Shingles, and texts, of a group of candidates that are compared in memory at once: more are dealt into blocks.
@@ -135,7 +139,10 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 def names(prints: np.ndarray) -> np.ndarray:
     """One 64-bit name for each row of a matrix of fingerprints: the fingerprint itself if it has 64 bits."""
-    return prints[:, 0] if prints.shape[1] == 1 else mixed(mixed(prints[:, 0]) * _A + prints[:, 1])
+    out = prints[:, 0]
+    for i in range(1, prints.shape[1]):
+        out = mixed(mixed(out) * _A + prints[:, i])
+    return out
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -346,7 +353,7 @@ def plan_segments(texts: int) -> tuple[int, int]:
 
 
 def ball_rows(per: DataFrame, bits: int, segments: int) -> DataFrame:
-    """key, f0 and f1: a row for each value within one bit of each segment of each fingerprint."""
+    """key, f0, f1, ...: a row for each value within one bit of each segment of each fingerprint."""
     ball = np.concatenate([[0], 1 << np.arange(bits)]).astype(np.uint64)
     weight = (1 << np.arange(bits)).astype(np.uint64)
     mark = (np.arange(segments, dtype=np.uint64) << np.uint64(bits))[None, :, None]
@@ -357,21 +364,21 @@ def ball_rows(per: DataFrame, bits: int, segments: int) -> DataFrame:
             set_bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")[:, : bits * segments]
             value = set_bits.reshape(len(prints), segments, bits).astype(np.uint64) @ weight
             keys = ((value[:, :, None] ^ ball) | mark).reshape(len(prints), -1)
-            two = np.repeat(wide[:, :2], keys.shape[1], axis=0).view(np.int64)
-            yield pa.record_batch({"key": pa.array(keys.ravel().view(np.int64)), "f0": pa.array(np.ascontiguousarray(two[:, 0])), "f1": pa.array(np.ascontiguousarray(two[:, 1]))})
+            head = np.repeat(wide[:, :NEAR_LONGS], keys.shape[1], axis=0).view(np.int64)
+            yield pa.record_batch({"key": pa.array(keys.ravel().view(np.int64)), **{f"f{i}": pa.array(np.ascontiguousarray(head[:, i])) for i in range(NEAR_LONGS)}})
 
-    return per.select("print").mapInArrow(run, "key long, f0 long, f1 long")
+    return per.select("print").mapInArrow(run, "key long, " + ", ".join(f"f{i} long" for i in range(NEAR_LONGS)))
 
 
 def named(per: DataFrame) -> DataFrame:
-    """The rows with ``name``, that of their fingerprint's first 128 bits."""
+    """The rows with ``head``, the first NEAR_LONGS numbers of their fingerprint, and ``name``, the name of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, prints in chunks(batches, "node", "print"):
             wide = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
-            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "name": pa.array(names(wide[:, :2]).view(np.int64)), "two": pa.array([p[:16] for p in prints], pa.binary())})
+            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "name": pa.array(names(wide[:, :NEAR_LONGS]).view(np.int64)), "head": pa.array([p[: 8 * NEAR_LONGS] for p in prints], pa.binary())})
 
-    return per.select("node", "print").mapInArrow(run, "node long, name long, two binary")
+    return per.select("node", "print").mapInArrow(run, "node long, name long, head binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -392,7 +399,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (part, side, node, label, two, set) sorted by part: links between similar nodes of different labels.
+    """From rows (part, side, node, label, head, set) sorted by part: links between similar nodes of different labels.
 
     Sides 0 and 1 are compared with each other, side 2 with itself. Each link joins two labels that were apart, so a
     part gives fewer links than it has rows.
@@ -402,7 +409,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side, node, label = (np.array(x, np.int64) for x in list(zip(*rows))[:3])
         sets = [r[4] for r in rows]
         size = np.array([len(s) for s in sets], np.int64)
-        prints = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), 2)
+        prints = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), NEAR_LONGS)
         place, a, b = np.arange(len(rows)), [], []
         for i in np.flatnonzero(side != 1).tolist():
             other = place[(label != label[i]) & ((side == 1) if side[i] == 0 else (side == 2) & (place > i))]
@@ -429,7 +436,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    return rows.select("part", "side", "node", "label", "two", "set").repartition("part").sortWithinPartitions("part").mapInArrow(_compared, "a long, b long")
+    return rows.select("part", "side", "node", "label", "head", "set").repartition("part").sortWithinPartitions("part").mapInArrow(_compared, "a long, b long")
 
 
 def verified_links(per: DataFrame, docs: DataFrame, key: str, text: str, bits: int, segments: int) -> DataFrame:
@@ -443,20 +450,20 @@ def verified_links(per: DataFrame, docs: DataFrame, key: str, text: str, bits: i
     lead = F.max(F.struct("degree", "node"))["node"].alias("leader")
     sizes = ranked.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total"), lead).where("n > 1")
     texts = ranked.count()
-    members = joined_hot(ranked.select("group", "node", "size", "two", "first"), written(sizes), "group", texts)
+    members = joined_hot(ranked.select("group", "node", "size", "head", "first"), written(sizes), "group", texts)
     sets = sets_of(docs, members.select(F.col("first.key").alias("key"), F.col("first.hash").alias("hash"), "node"), key, text)
-    whole = written(members.select("group", "node", "size", "two", "n", "total", "leader").join(sets, "node"))
+    whole = written(members.select("group", "node", "size", "head", "n", "total", "leader").join(sets, "node"))
     small = (F.col("total") <= BLOCK_SHINGLES) & (F.col("n") <= BLOCK_TEXTS)
-    found = compared(whole.where(small).select(F.col("group").alias("part"), F.lit(2).cast("long").alias("side"), "node", F.col("node").alias("label"), "two", "set"))
+    found = compared(whole.where(small).select(F.col("group").alias("part"), F.lit(2).cast("long").alias("side"), "node", F.col("node").alias("label"), "head", "set"))
     if whole.where(~small).isEmpty():
         return found
 
     # a large group: first each text against the one with most links, then what is left against all, in blocks
     large = whole.where(~small)
-    heads = large.where("node = leader").select("group", "n", F.col("set").alias("head"))
-    both = F.size(F.array_intersect("set", "head"))
-    is_near = both * NEAR[1] >= (F.size("set") + F.size("head") - both) * NEAR[0]
-    led = written(joined_hot(large.drop("n"), heads, "group", texts).withColumn("led", is_near).drop("head"))
+    heads = large.where("node = leader").select("group", "n", F.col("set").alias("lead_set"))
+    both = F.size(F.array_intersect("set", "lead_set"))
+    is_near = both * NEAR[1] >= (F.size("set") + F.size("lead_set") - both) * NEAR[0]
+    led = written(joined_hot(large.drop("n"), heads, "group", texts).withColumn("led", is_near).drop("lead_set"))
     rest = written(led.where("NOT led"))
     blocks = lambda by: F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).cast("int").alias(by)
     counts = rest.groupBy("group").agg(blocks("rest_blocks")).join(led.where("led").groupBy("group").agg(blocks("led_blocks")), "group")
@@ -465,8 +472,8 @@ def verified_links(per: DataFrame, docs: DataFrame, key: str, text: str, bits: i
     every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
     own_part = alone.withColumns({"own": block("rest_blocks"), "other": every("rest_blocks")})
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
-    among = own_part.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("part"), side.alias("side"), "node", F.col("node").alias("label"), "two", "set")
-    across = lambda rows, i, j, side, label: rows.withColumns({"i": i, "j": j}).select(F.xxhash64(F.lit("led"), "group", "i", "j").alias("part"), F.lit(side).cast("long").alias("side"), "node", F.col(label).alias("label"), "two", "set")
+    among = own_part.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("part"), side.alias("side"), "node", F.col("node").alias("label"), "head", "set")
+    across = lambda rows, i, j, side, label: rows.withColumns({"i": i, "j": j}).select(F.xxhash64(F.lit("led"), "group", "i", "j").alias("part"), F.lit(side).cast("long").alias("side"), "node", F.col(label).alias("label"), "head", "set")
     left = across(alone, block("rest_blocks"), every("led_blocks"), 0, "node")
     right = across(led.where("led").join(counts, "group"), every("rest_blocks"), block("led_blocks"), 1, "leader")
     linked = led.where("led AND node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -479,7 +486,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Every column stays. Rows that repeat a key and its text stay once.
     """
     bits, segments = plan_segments(docs.count())
-    own = written(signatures(docs, key, text, max(2, math.ceil(bits * segments / 64))))
+    own = written(signatures(docs, key, text, max(NEAR_LONGS, math.ceil(bits * segments / 64))))
     first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "hash")).alias("first")
     per = written(own.groupBy("node").agg(first, F.first("size").alias("size"), F.first("print").alias("print")))
     member = components(verified_links(per, docs, key, text, bits, segments))

@@ -78,7 +78,7 @@ def test_a_segment_plan_reaches_pairs_at_the_least_similarity():
     rng, bits, segments, met = np.random.default_rng(4), 14, 6, 0
     for _ in range(300):  # sets of 400 with a similarity of 0.8
         pool = rng.integers(0, 1 << 63, 445, dtype=np.uint64)
-        a, b = (simhash.wide_fingerprint(np.unique(x), 2) for x in (pool[:400], pool[45:]))
+        a, b = (simhash.wide_fingerprint(np.unique(x), simhash.NEAR_LONGS) for x in (pool[:400], pool[45:]))
         assert simhash.distances(a[None], b[None])[0] <= simhash.NEAR_BITS
         cut = lambda x: np.unpackbits(x.view(np.uint8), bitorder="little")[: bits * segments].reshape(segments, bits)
         met += ((cut(a) != cut(b)).sum(1) <= 2).any()
