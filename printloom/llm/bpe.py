@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from printloom.llm.common import chunks
 
-#: Distinct fragments that a worker remembers before it starts afresh.
-MEMO_FRAGMENTS = 600_000
+#: Bytes of fragments and their ids that a worker remembers before it starts afresh; what an entry takes beside its text.
+MEMO_BYTES, MEMO_ENTRY = 48 << 20, 180
 #: Fixed value: the expression by which a byte-level pre-tokenizer divides a text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters from which a fragment without spaces is cut further.
@@ -53,7 +53,7 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encodes and decodes with one tokenizer file."""
 
-    def __init__(self, path: str, memo: int = MEMO_FRAGMENTS):
+    def __init__(self, path: str, memo: int = MEMO_BYTES):
         self.library = tokenizers.Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -71,8 +71,7 @@ class Codec:
         self.fast = self._ranked(spec)
         self.forced = self._between_alnum(inside)
         self.at_special = re.compile("|".join(f"({re.escape(x)})" for x in sorted(self.special, key=len, reverse=True)) or "(?!)")
-        self.memo = Memo(self._encode)
-        self.limit = memo
+        self.memo = Memo(self._encode, memo)
 
     def _ranked(self, spec: dict) -> tiktoken.Encoding | None:
         """Merging by rank, if the ids of the merges' results ascend, so that ids and ranks are the same order."""
@@ -108,8 +107,6 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         raw = text.encode()
-        if len(self.memo) > self.limit:
-            self.memo.clear()
         if b"  " in raw or any(pair in raw for pair in self.unsure_pairs):
             return b"".join(self._packed(f) for f in self.fragments(text))
         first, *rest = text.split(" ")
@@ -144,13 +141,18 @@ class Codec:
 
 
 class Memo(dict):
-    """Ids of a space and the key, found when first asked for."""
+    """Ids of a space and the key, found when first asked for; starts anew beyond ``limit`` bytes."""
 
-    def __init__(self, find):
-        self.find = find
+    def __init__(self, find, limit: int):
+        self.find, self.limit, self.size = find, limit, 0
 
     def __missing__(self, key: str) -> bytes:
-        self[key] = got = self.find(" " + key)
+        got = self.find(" " + key)
+        self.size += MEMO_ENTRY + 4 * len(key) + len(got)
+        if self.size > self.limit:
+            self.clear()
+            self.size = MEMO_ENTRY + 4 * len(key) + len(got)
+        self[key] = got
         return got
 
 
