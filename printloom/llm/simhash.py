@@ -466,8 +466,11 @@ def verified_links(per: DataFrame, docs: DataFrame, key: str, text: str, bits: i
     led = written(joined_hot(large.drop("n"), heads, "group", texts).withColumn("led", is_near).drop("lead_set"))
     rest = written(led.where("NOT led"))
     blocks = lambda by: F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).cast("int").alias(by)
-    counts = rest.groupBy("group").agg(blocks("rest_blocks")).join(led.where("led").groupBy("group").agg(blocks("led_blocks")), "group")
-    alone = rest.join(counts, "group")
+    rest_counts = rest.groupBy("group").agg(blocks("rest_blocks"), F.count("*").alias("rest_n"))
+    led_counts = led.where("led").groupBy("group").agg(blocks("led_blocks"), F.count("*").alias("led_n"))
+    counts = written(rest_counts.join(led_counts, "group"))  # a row for each large group
+    counted = lambda rows, n: joined_hot(rows.drop("n"), counts.select("group", "rest_blocks", "led_blocks", F.col(n).alias("n")), "group", texts)
+    alone = counted(rest, "rest_n")
     block = lambda by: F.pmod(F.xxhash64("node"), F.col(by)).cast("int")
     every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
     own_part = alone.withColumns({"own": block("rest_blocks"), "other": every("rest_blocks")})
@@ -475,7 +478,7 @@ def verified_links(per: DataFrame, docs: DataFrame, key: str, text: str, bits: i
     among = own_part.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("part"), side.alias("side"), "node", F.col("node").alias("label"), "head", "set")
     across = lambda rows, i, j, side, label: rows.withColumns({"i": i, "j": j}).select(F.xxhash64(F.lit("led"), "group", "i", "j").alias("part"), F.lit(side).cast("long").alias("side"), "node", F.col(label).alias("label"), "head", "set")
     left = across(alone, block("rest_blocks"), every("led_blocks"), 0, "node")
-    right = across(led.where("led").join(counts, "group"), every("rest_blocks"), block("led_blocks"), 1, "leader")
+    right = across(counted(led.where("led"), "led_n"), every("rest_blocks"), block("led_blocks"), 1, "leader")
     linked = led.where("led AND node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     return found.union(linked).union(compared(among)).union(compared(left.union(right)))
 
