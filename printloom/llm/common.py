@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 #: Rows of one Python step: small enough that a chunk of long documents stays in memory.
 CHUNK_ROWS = 128
 
+#: Paths of the tables that go when the block of ``passing_tables`` that wrote them ends.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,10 +48,39 @@ def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends in files that outlive executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside the block are removed when it ends, but for those written by the function that it gives.
+
+    What leaves the block must be read from kept tables or from elsewhere: its lineage then needs none of the removed
+    ones, whatever executor is lost.
+    """
+    paths: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        inner = _PASSING.set(None)
+        try:
+            return written(df)
+        finally:
+            _PASSING.reset(inner)
+
+    outer = _PASSING.set(paths)
+    try:
+        yield kept
+    finally:
+        _PASSING.reset(outer)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], *names: str, rows: int = CHUNK_ROWS) -> Iterator[list[list]]:
     """The named columns of Arrow batches as Python lists, a bounded number of rows at a time."""
     for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from printloom.llm.common import chunks, written
+from printloom.llm.common import chunks, passing_tables, written
 from printloom.llm.graph import components
 from printloom.llm.lm import hashes, mixed, words_of
 
@@ -327,13 +327,14 @@ def joined_hot(rows: DataFrame, table: DataFrame, by: str, total: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """Key, fingerprint (16 hexadecimal digits) and component_id (the least key that links reach) of each row."""
-    own = written(fingerprints(docs, key, text, words))
-    per = written(own.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
-    member = components(links(per))
-    least = member.join(per.select("fp", "least"), member.node == F.col("fp")).groupBy("component").agg(F.min("least").alias("reach"))
-    other = member.join(least, "component").select(F.col("node").alias("fp"), "reach")
-    known = written(per.join(other, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"), "n"))
-    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    with passing_tables(docs.sparkSession) as kept:
+        own = kept(fingerprints(docs, key, text, words))
+        per = written(own.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
+        member = components(links(per))
+        least = member.join(per.select("fp", "least"), member.node == F.col("fp")).groupBy("component").agg(F.min("least").alias("reach"))
+        other = member.join(least, "component").select(F.col("node").alias("fp"), "reach")
+        known = kept(per.join(other, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"), "n"))
+        total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = joined_hot(own.select(key, "fp"), known, "fp", total)
     return rows.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -489,15 +490,17 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Every column stays. Rows that repeat a key and its text stay once.
     """
     bits, segments = plan_segments(docs.count())
-    own = written(signatures(docs, key, text, max(NEAR_LONGS, math.ceil(bits * segments / 64))))
-    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "hash")).alias("first")
-    per = written(own.groupBy("node").agg(first, F.first("size").alias("size"), F.first("print").alias("print")))
-    member = components(verified_links(per, docs, key, text, bits, segments))
-    label = F.coalesce("component", "node")
-    best = per.select("node", "first").join(member, "node", "left").groupBy(label.alias("label")).agg(F.min("first").alias("first"))
-    kept = written(best.select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash")))
-    out = docs.join(kept, docs[key].eqNullSafe(kept["_key"]) & (F.xxhash64(docs[text]) == kept["_hash"]), "left_semi")
-    if own.groupBy("key", "hash").count().where("count > 1").isEmpty():
+    with passing_tables(docs.sparkSession) as kept:
+        own = written(signatures(docs, key, text, max(NEAR_LONGS, math.ceil(bits * segments / 64))))
+        first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "hash")).alias("first")
+        per = written(own.groupBy("node").agg(first, F.first("size").alias("size"), F.first("print").alias("print")))
+        member = components(verified_links(per, docs, key, text, bits, segments))
+        label = F.coalesce("component", "node")
+        best = per.select("node", "first").join(member, "node", "left").groupBy(label.alias("label")).agg(F.min("first").alias("first"))
+        stay = kept(best.select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash")))
+        repeated = not own.groupBy("key", "hash").count().where("count > 1").isEmpty()
+    out = docs.join(stay, docs[key].eqNullSafe(stay["_key"]) & (F.xxhash64(docs[text]) == stay["_hash"]), "left_semi")
+    if not repeated:
         return out
     packed = out.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
     return packed.dropDuplicates(["key", "hash"]).select("doc.*")

@@ -1,11 +1,13 @@
 """The near-dedup stage of the pipeline against all pairs."""
 
+import glob
 import random
 
 import numpy as np
 
 import corpus_pipeline
 from printloom.llm import simhash
+from printloom.llm.common import shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,6 +56,14 @@ def test_near_dedup_keeps_one_of_each_group_of_similar_texts(spark, monkeypatch)
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(want.values()))
 
 
+def test_only_the_tables_that_are_still_read_stay(spark):
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/table-*"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in near_copies()], SCHEMA)
+    kept = simhash.one_of_each(docs)
+    after = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/table-*")) - before
+    assert len(after) == 1 and kept.count() > 40
+
+
 def test_keys_that_repeat_or_are_null(spark):
     odd = [(7, "one text of its own here"), (7, "one text of its own here"), (None, "no id at all and alone"), (None, "no id at all and alone"), (None, "one text of its own here"), (8, "")]
     rows = simhash.one_of_each(spark.createDataFrame([(i, t, None, None, None) for i, t in odd], SCHEMA)).collect()
